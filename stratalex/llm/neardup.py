@@ -7,10 +7,11 @@ shared shingles, so bands of registers serve as buckets for candidates, and the
 smaller and equal registers give the maximum likelihood estimate of the Jaccard similarity.
 
 Copies of one word sequence are a class, and classes are what is compared. First the members of a bucket are
-compared with the bucket's least member only; links make components. Then only those buckets whose
-members still lie in different components are taken up again: in blocks of members, sketches are compared
-between components, and pairs that have met in no earlier band are passed on. So a large group of near
-copies costs a pair for each member and bucket, not all its pairs. Every passed pair whose estimate
+compared with one of them, its center, only; links make components. Buckets whose members still lie in
+different components are taken up again, with other centers, and at last in blocks of members: sketches
+and then the shingles' 32-bit hashes are compared between components, for pairs that have met in no
+earlier band, and what links two components is passed on. So a large group of near
+copies costs a few pairs for each member and bucket, not all its pairs. Every passed pair whose estimate
 leaves room for the threshold is confirmed on its full sets.
 
 At 128 registers in 32 bands of 4, a pair of similarity 0.75 meets in no band with a chance of 5e-6;
@@ -42,6 +43,10 @@ BASE, RATE = 1.001, 20.0
 SLACK = 0.15
 #: Members of a bucket that are compared with each other in one step.
 MEMBERS = 256
+#: The center of a bucket is the member whose id, with these bits turned round, is least; a round for each.
+CENTERS = (0, 0x5DEECE66D1234567)
+#: Ids, 8 bytes each, up to which a set of documents is sent to all executors to pick their texts.
+SENT_IDS = 4_000_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.random.default_rng(20240229).integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,29 +182,42 @@ def _kept_pairs(percent: int):
 def _likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose sketches leave room for the threshold."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("registers").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_kept_pairs(percent), "a long, b long")
+    return pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_kept_pairs(percent), "a long, b long")
 
 
 def _across(percent: int):
-    """Pairs of different components in blocks (bucket, i, j), whose rows come one after another."""
+    """Links between components in blocks (bucket, i, j), whose rows come one after another."""
 
     def pairs(rows: list[dict]) -> tuple[list, list]:
         left, right = [r for r in rows if r["side"] != 1], [r for r in rows if r["side"] != 0]  # 2: a block with itself
+        if not left or not right:
+            return [], []
         ra, rb = (np.frombuffer(b"".join(r["registers"] for r in x), np.uint16).reshape(-1, REGISTERS) for x in (left, right))
         keys = band_keys(ra), band_keys(rb)
-        ca, cb, na, nb, ia, ib = (np.array([r[k] for r in x], np.int64) for k in ("component", "n_shingles", "node") for x in (left, right))
-        band = int(np.flatnonzero(keys[0][0] == rows[0]["bucket"])[0]) if (keys[0][0] == rows[0]["bucket"]).any() else BANDS
+        (ca, cb), (na, nb), (ia, ib) = [[np.array([r[k] for r in x], np.int64) for x in (left, right)] for k in ("component", "n_shingles", "node")]
+        sets = [np.frombuffer(r["shingles"], np.uint32) for r in right]
+        band = int((keys[0][0] == rows[0]["bucket"]).argmax())
         a, b = [], []
         for k in range(len(left)):
             near = np.flatnonzero((cb != ca[k]) & (ib != ia[k]))
             if rows[0]["side"] == 2:
                 near = near[near > k]
-            if len(near) and band:  # a pair that met in an earlier band is passed on there
+            if len(near) and band:  # a pair that met in an earlier band is compared there
                 near = near[~(keys[1][near, :band] == keys[0][k, :band]).any(axis=1)]
             if len(near):
-                ok = near[_likely(np.broadcast_to(ra[k], (len(near), REGISTERS)), rb[near], np.full(len(near), na[k]), nb[near], percent)]
-                a += np.minimum(ia[k], ib[ok]).tolist()
-                b += np.maximum(ia[k], ib[ok]).tolist()
+                near = near[_likely(np.broadcast_to(ra[k], (len(near), REGISTERS)), rb[near], np.full(len(near), na[k]), nb[near], percent)]
+            if not len(near):
+                continue
+            own = np.frombuffer(left[k]["shingles"], np.uint32)
+            every = np.concatenate([sets[x] for x in near])
+            hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum([len(sets[x]) for x in near])[:-1]]))
+            for x in near[100 * both >= percent * (len(own) + nb[near] - both)]:
+                if cb[x] != ca[k]:  # not yet joined in this block
+                    a.append(min(int(ia[k]), int(ib[x])))
+                    b.append(max(int(ia[k]), int(ib[x])))
+                    old, new = cb[x], ca[k]
+                    ca[ca == old], cb[cb == old] = new, new
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +235,14 @@ def _across(percent: int):
     return run
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, 512):
+            part = b.slice(k, 512)
+            sets = shingle_sets([words(t) for t in part.column(1).cast(pa.binary()).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
+
+
 def _pair_batch(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -244,13 +270,19 @@ def _shingles(text: str) -> frozenset:
     return frozenset(zip(*(w[k:] for k in range(SHINGLE)))) if len(w) >= SHINGLE else frozenset([tuple(w)] if w else [])
 
 
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of the documents in ``ids``."""
+    ids = stored(ids.distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids.hint("merge")
+    own = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null and text is not null")
+    return own.join(ids, "node").dropDuplicates()
+
+
 def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs that their full sets confirm."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null and text is not null")
-    texts = stored(own.join(ids, "node").dropDuplicates(), "texts")
+    texts = stored(_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs), "texts")
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(_confirmed(percent), "a long, b long").distinct()
+    return pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select("a", "b", "ta", "tb").mapInArrow(_confirmed(percent), "a long, b long").distinct()
 
 
 def connect(links: DataFrame) -> DataFrame:
@@ -276,32 +308,52 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
 
 
+def _of(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("__sx_node"), F.col("component").alias("c"))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows`` (node, ...) and the component so far."""
+    if labels is None:
+        return rows.withColumn("component", F.col("node"))
+    return rows.join(_of(labels).hint("merge"), F.col("node") == F.col("__sx_node"), "left").withColumn("component", F.coalesce("c", "node")).drop("__sx_node", "c")
+
+
 def components(docs: DataFrame, percent: int = PERCENT, members: int = MEMBERS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     rows = stored(sketches(docs), "sketches")
     classes = stored(classes_of(rows), "classes")
     banded = classes.select("node", "registers").mapInArrow(_banded, "bucket long, node long")
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).where("n > 1")
-    held = stored(banded.join(stored(shared, "buckets"), "bucket"), "members")
-    stars = held.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    first = stored(_links(stored(_likely_pairs(stars, classes, percent), "pairs"), docs, percent), "links")
-    labels = connect(first)
-    # buckets that still hold several components
-    now = held.select("bucket", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    now = stored(now, "members")
+    held = stored(banded.join(stored(shared, "buckets").hint("merge"), "bucket").select("bucket", "node", "n"), "members")
+    links = labels = None
+    for turned in CENTERS:
+        now = _labelled(held, labels)
+        center = F.min(F.col("node").bitwiseXOR(F.lit(turned))).bitwiseXOR(F.lit(turned))
+        mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), center.alias("center")).where("x <> y").select("bucket", "center")
+        held = stored(now.drop("component").join(stored(mixed, "mixed").hint("merge"), "bucket"), "members")
+        pairs = _labelled(held.where("node <> center").select("center", "node").distinct(), labels)
+        pairs = pairs.withColumnRenamed("component", "own").join(_of(labels).hint("merge"), F.col("center") == F.col("__sx_node"), "left") if labels else pairs.withColumn("own", F.lit(-1)).withColumn("c", F.lit(-2))
+        pairs = pairs.where(F.col("own") != F.coalesce("c", "center")).select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
+        found = _links(stored(_likely_pairs(pairs, classes, percent), "pairs"), docs, percent)
+        links = stored(links.union(found) if links else found, "links")
+        labels = connect(links)
+        held = held.drop("center")
+    now = _labelled(held, labels)
     mixed = stored(now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket"), "mixed")
-    left = now.join(mixed, "bucket").join(classes.select("node", "n_shingles", "registers"), "node")
+    left = now.join(mixed.hint("merge"), "bucket")
+    left = stored(left, "left")
+    sets = stored(_texts(left.select("node"), docs).mapInArrow(_hashed, "node long, shingles binary"), "shingles")
+    left = left.join(classes.select("node", "n_shingles", "registers").hint("merge"), "node").join(sets.hint("merge"), "node")
     blocks = F.ceil(F.col("n") / members).cast("int")
     left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a row goes to every pair of blocks that its own is in: once in all for a bucket of one block
-    dealt = left.select("bucket", "node", "component", "n_shingles", "registers", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    dealt = dealt.select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.when(F.col("block") == F.col("o"), 2).when(F.col("block") < F.col("o"), 0).otherwise(1).alias("side"), "node", "component", "n_shingles", "registers")
+    dealt = left.select("bucket", "node", "component", "n_shingles", "registers", "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    dealt = dealt.select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.when(F.col("block") == F.col("o"), 2).when(F.col("block") < F.col("o"), 0).otherwise(1).alias("side"), "node", "component", "n_shingles", "registers", "shingles")
     more = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across(percent), "a long, b long").distinct()
-    second = _links(stored(more, "pairs"), docs, percent)
-    links = stored(first.union(second), "links")
-    final = connect(links)
-    known = classes.select("key", "node").join(final, "node", "left").select("key", F.coalesce("component", "node").alias("c"))
-    out = rows.select("doc_id", "n_shingles", "key").join(stored(known, "components"), "key", "left")
+    final = connect(stored(links.union(_links(stored(more, "pairs"), docs, percent)), "links"))
+    known = classes.select("key", "node").join(final.hint("merge"), "node", "left").select("key", F.coalesce("component", "node").alias("c"))
+    out = rows.select("doc_id", "n_shingles", "key").join(stored(known, "components").hint("merge"), "key", "left")
     component = F.coalesce("c", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
