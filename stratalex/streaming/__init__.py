@@ -1 +1 @@
-"""PySpark-native analytics over text, morphology and evidence tables."""
+"""Structured Streaming forms of the event-time aggregates; beyond what a batch engine needs."""
