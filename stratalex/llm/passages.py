@@ -1,15 +1,15 @@
 """Substring dedup by hashing lines and the sentences within them.
 
-Units are the sentences of each line: passages are often pasted into the middle of a line, where no
-whole line repeats but its sentences do. A unit is normalised (case folded, all but letters and digits
+Units are lines, and the sentences of a line: passages are often pasted into the middle of a line, where
+no whole line repeats but its sentences do. A unit is normalised (case folded, all but letters and digits
 made one blank) and hashed to 128 bits. Digests are grouped globally, the occurrence with the least rank
 (doc_id, then offset) stays, and every other one goes, its original offsets kept.
 
 Units of fewer than ``MIN_WORDS`` words are too common to be copies and are left alone.
 
 Defined results: a null or empty text has no unit; rows that share a doc_id are one document, whose
-occurrences are ranked together; a row without doc_id is never removed from; overlapping removals do not
-occur; further columns are ignored; an empty table gives no rows.
+occurrences are ranked together; a row without doc_id is never removed from; removals that overlap or touch
+are made one; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,18 +25,34 @@ from pyspark.sql import functions as F
 from .common import stored
 
 MIN_WORDS = 8
-UNIT = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)")
+UNIT = re.compile(r"[^.!?]+[.!?]*")
 _WORD = re.compile(r"[^\W_]+")
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit of ``text``; white space around a unit isn't part of it."""
-    for m in UNIT.finditer(text):
-        s = m[0]
-        found = _WORD.findall(s)
-        if len(found) >= min_words:
-            start = m.start() + len(s) - len(s.lstrip())
-            yield start, start + len(s.strip()), hashlib.blake2b(" ".join(found).lower().encode(), digest_size=16).digest()
+    """(start, end, digest) of each line and of each sentence of several in a line.
+
+    White space around a unit isn't part of it.
+    """
+    at = 0
+    for line in text.split("\n"):
+        whole = None
+        for m in UNIT.finditer(line):
+            unit = _unit(m[0], at + m.start(), min_words)
+            if unit:
+                yield unit
+                whole = unit if len(m[0].strip()) == len(line.strip()) else whole
+        if not whole and (unit := _unit(line, at, min_words)):
+            yield unit
+        at += len(line) + 1
+
+
+def _unit(s: str, at: int, min_words: int) -> tuple[int, int, bytes] | None:
+    found = _WORD.findall(s)
+    if len(found) < min_words:
+        return None
+    start = at + len(s) - len(s.lstrip())
+    return start, start + len(s.strip()), hashlib.blake2b(" ".join(found).lower().encode(), digest_size=16).digest()
 
 
 def _rows(min_words: int):
@@ -71,17 +87,24 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.unionByName(same).select("doc_id", F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND(F.lit(2**32 - 1)).alias("end"))
 
 
+def _merged(spans):
+    """Sorted spans with those that overlap or touch made one."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+    step = f"if(size(a) > 0 and element_at(a, -1).end >= x.start, concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))), concat(a, array(x)))"
+    return F.expr(f"aggregate({spans}, cast(array() as {kind}), (a, x) -> {step})")
+
+
 def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_removed, chars_removed, spans (start:end, comma-joined) for every doc_id of ``docs``."""
     gone = repeated_spans(docs, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    out = ids.join(gone, "doc_id", "left")
+    out = ids.join(gone, "doc_id", "left").withColumn("s", _merged("s"))
     return out.select("doc_id", F.coalesce(F.size("s"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0)).cast("long").alias("chars_removed"), F.coalesce(F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ","), F.lit("")).alias("spans"))
 
 
 def cut(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the repeated units in ``text``; what stays keeps its order."""
     gone = repeated_spans(docs, min_words).groupBy(F.col("doc_id").alias("__sx_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__sx_spans"))
-    both = docs.join(gone, F.col("doc_id") == F.col("__sx_id"), "left")
+    both = docs.join(gone, F.col("doc_id") == F.col("__sx_id"), "left").withColumn("__sx_spans", _merged("__sx_spans"))
     kept = F.expr("concat(aggregate(__sx_spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', int(x.end), 'out', concat(a.out, substring(text, a.at + 1, int(x.start) - a.at))), a -> concat(a.out, substring(text, a.at + 1))))")
     return both.select(*[F.when(F.col("__sx_spans").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else docs[c] for c in docs.columns])
