@@ -232,7 +232,8 @@ def proximity_matches(index: DataFrame, terms: list[str], slop: int) -> DataFram
 def _same_doc(s: Shard, terms: list[bytes], at: int, doc: int, slop: int) -> bool:
     """Whether each term has a posting within ``slop`` of ``at`` in that document itself."""
     low, high = max(at - slop, s.starts[doc]), min(at + slop, s.starts[doc] + s.sizes[doc] - 1)
-    return all((p := s.postings(s.code[t]))[np.searchsorted(p, low) :][:1] <= high if len(p) and p[-1] >= low else False for t in terms)
+    lists = (s.postings(s.code[t]) for t in terms)
+    return all(np.searchsorted(p, low) < np.searchsorted(p, high, side="right") for p in lists)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
