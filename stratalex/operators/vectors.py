@@ -65,4 +65,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-__all__ = ["best_alignment", "centroid_similarity", "cohesion", "components", "dot", "leave_one_out", "mean_vectors", "norm"]
+def kmeans(rows: DataFrame, item: str, k: int, seed: int = 42, vec: str = "vec") -> DataFrame:
+    """item, cluster (0 to k - 1) by cosine over unit vectors; rows without a direction are in no cluster."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    own = rows.select(item, unit(F.col(vec)).alias("u")).where("u is not null").select(item, array_to_vector("u").alias("features"))
+    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=20).fit(own)
+    return model.transform(own).select(item, F.col("prediction").cast("long").alias("cluster"))
+
+
+__all__ = ["best_alignment", "centroid_similarity", "cohesion", "components", "dot", "kmeans", "leave_one_out", "mean_vectors", "norm"]

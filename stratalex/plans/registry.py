@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import table_queries, text_queries
+from . import phrase_queries, table_queries, text_queries
 
-_FAMILIES = (text_queries, table_queries)
+_FAMILIES = (text_queries, table_queries, phrase_queries)
 
 
 def queries() -> dict:
