@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import decision as D
 from ..operators import phrases as P
 from ..operators import vectors as V
+from ..operators.donors import resolve
 from ..sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -161,3 +162,11 @@ def _edit(spark, d):
 def _kmeans(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
     return V.kmeans(rows, "vec_id", 10)
+
+
+@query("n8_donor_resolution")
+def _donors(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(X.words(F.lower("text"))).alias("w")).distinct()
+    hosts = words.where("char_length(w) > 3").select(F.col("w").alias("host"), F.substring("w", -2, 2).alias("target"))
+    roots = words.where("char_length(w) < 6").select(F.col("w").alias("donor"), F.when(F.char_length("w") < 4, "dictionary").otherwise("sqlite").alias("source"))
+    return resolve(hosts, roots)

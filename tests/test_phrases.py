@@ -86,3 +86,12 @@ def test_lists_and_sinks(spark, tmp_path):
     assert one(spark, files.strings(F.lit("a| b,,c"))) == ["a", "b", "c"] and one(spark, files.strings(F.lit('["a", " "]'))) == ["a"]
     files.write_csv(spark.createDataFrame([(2, "b"), (1, "a")], "n int, t string"), str(tmp_path / "o"), ["n"])
     assert [r["t"] for r in spark.read.csv(str(tmp_path / "o"), header=True).orderBy("n").collect()] == ["a", "b"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from stratalex.__main__ import main
+
+    main(["list"])
+    assert "n35_decision_score" in capsys.readouterr().out.split()
+    main(["run", "n35_decision_score", "/root/testdata/sf0.001", str(tmp_path / "o"), "--format", "json"])
+    assert spark.read.json(str(tmp_path / "o")).columns == ["p_partkey", "score"]
