@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def normal_form(form: str):
+    """A function of a string column: its Unicode normal form. Spark has none of its own."""
+
+    @F.pandas_udf("string")
+    def normal(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: unicodedata.normalize(form, x), na_action="ignore")
+
+    return normal
+
+
 def words(text: Column) -> Column:
     """ASCII words in order."""
     return F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))

@@ -69,7 +69,7 @@ def test_dictionary(spark, tmp_path):
     entries = files.dictionary(spark, str(tmp_path / "l.json"))
     assert {r["word"] for r in entries.collect()} == {"Ab", "ab "}
     assert {r["word"] for r in files.dictionary(spark, str(tmp_path / "k.json")).collect()} == {"Naz"}
-    assert {(r["word"], r["definition"], r["sense_id"]) for r in files.senses(entries).collect()} == {("Ab", "s1", 7), ("Ab", "s2", 2), ("ab ", "two", 1)}
+    assert {(r["word"], r["definition"], r["sense_id"]) for r in files.senses(entries).collect()} == {("Ab", "s1", 7), ("Ab", "s2", 2), ("ab", "two", 1)}
     [m] = files.merged(entries).collect()
     assert (m["normalized"], m["words"], m["definitions"], m["tags"], m["alternates"], m["pos"]) == ("ab", ["Ab", "ab "], ["one", "two"], ["t", "u"], ["aab"], "noun")
 
