@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import evidence as E
+from ..operators import functional as U
 from ..operators import readings as R
 from ..operators.lookup import fuzzy
 from ..sources.tables import table
@@ -108,3 +109,31 @@ def _alignment(spark, d):
     o = F.col("o_orderkey")
     parts = table(spark, d, "orders").select(o, F.col("o_custkey").alias("morph"), _pick("o_orderkey", *_AXES).alias("role"), F.array(o % 5).alias("clusters"), _pick("o_orderkey", *_WORDS).alias("word"), F.array(_pick("o_orderkey", "a", "b", "c"), F.lit("d")).alias("terms"))
     return E.align(parts, groups, "o_orderkey", 1)
+
+
+@query("a17_attachments", """
+WITH r AS (SELECT p_brand, p_size % 5 + 1 AS w, (p_partkey % 11) / 11 AS a, (p_partkey % 7) / 7 AS b, (p_size % 9) / 9 AS c, (p_partkey % 13) / 13 AS d, p_partkey % 50 AS n, p_size AS m, p_partkey % 3 AS k FROM part)
+SELECT p_brand, round(sum(a * w) / sum(w), 4) AS prefix, round(sum(b * w) / sum(w), 4) AS suffix, round(sum(c * w) / sum(w), 4) AS free, round(sum(d * w) / sum(w), 4) AS productivity, max(n)::BIGINT AS observed_prefix, max(m)::BIGINT AS observed_suffix, max(k)::BIGINT AS observed_infix, 0::BIGINT AS observed_free,
+  round(max(k) / (max(n) + max(m) + max(k)), 4) AS infix FROM r GROUP BY 1""")
+def _attachments(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    rows = table(spark, d, "part").select(
+        "p_brand", (s % 5 + 1).alias("weight"), ((k % 11) / 11).alias("prefix"), ((k % 7) / 7).alias("suffix"), ((s % 9) / 9).alias("free"), ((k % 13) / 13).alias("productivity"),
+        (k % 50).alias("observed_prefix"), s.alias("observed_suffix"), (k % 3).alias("observed_infix"), F.lit(None).cast("long").alias("observed_free"), F.col("p_type").alias("estimated"),
+    )
+    return U.attachments(rows, "p_brand").drop("estimated")
+
+
+@query("n37_word_functions")
+def _functions(spark, d):
+    """Parts of a name as morphs; a morph's profile is made of its checksum."""
+    name = table(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("at", "morph"))
+    draw = lambda k: (F.crc32(F.concat(F.upper("morph"), F.lit(f"/{k}"))) % 101) / 101
+    whole = lambda k: (draw(k) * 9).cast("long")
+    some = name.select("morph").distinct().where(draw("known") > 0.1)
+    profiles = some.select(
+        "morph", *[draw(c).alias(c) for c in ("nounness", "modifier", "verbness", "authority", "instability", "ambiguity", "prefix", "suffix", "infix", "free")], *[whole(f"observed_{p}").alias(f"observed_{p}") for p in U.PLACES],
+        F.array(F.when(draw("e") > 0.7, "prefix-like").otherwise("plain")).alias("estimated"), F.when(draw("t") > 0.6, "a relation of Sequence").alias("terms"),
+    )
+    morphs = name.withColumn("support", _pick("at", "cluster", "attested", "residual", "other", "hypothesis")).withColumn("quality", F.when(F.col("at") == 1, 0.4))
+    return U.functions(U.parts(morphs, profiles, "p_partkey"), "p_partkey")

@@ -146,3 +146,81 @@ def test_reports(spark, tmp_path):
     files.write_html(spark, {"A & B": df.orderBy("name"), "none": df.limit(0)}, str(tmp_path / "h"), "<t>")
     page = "".join(p.read_text() for p in (tmp_path / "h").glob("part-*"))
     assert "<h1>&lt;t&gt;</h1>" in page and "<td>b</td><td>1</td>" in page and "no rows" in page
+
+
+def test_functions(spark):
+    import math
+
+    from stratalex.operators import functional
+
+    rng, unit = random.Random(8), lambda x: max(0.0, min(1.0, x))
+    profiles = {}
+    for m in "ABCDEF":
+        profiles[m] = {k: rng.random() for k in ("nounness", "modifier", "verbness", "authority", "instability", "ambiguity", "prefix", "suffix", "infix", "free")} | {f"observed_{p}": rng.randint(0, 3) * (m != "B") for p in functional.PLACES}
+        profiles[m] |= {"estimated": ["Prefix-like"] if m in "AC" else [], "terms": "clause relation; negationless" if m in "AD" else None}
+    words = [[rng.choice("ABCDEFG") + "X" * rng.randint(0, 0) for _ in range(rng.randint(1, 5))] for _ in range(40)]
+    prof = spark.createDataFrame([(m, *p.values()) for m, p in profiles.items()], "morph string, " + ", ".join(f"{k} {'double' if i < 10 else 'long' if i < 14 else 'array<string>' if i < 15 else 'string'}" for i, k in enumerate(profiles["A"])))
+    morphs = spark.createDataFrame([(w, i, m.lower(), "residual" if i % 2 else None, 0.9 if m == "E" else None) for w, ms in enumerate(words) for i, m in enumerate(ms)] + [(99, 0, "", None, None), (99, 1, None, None, None)], "word long, at int, morph string, support string, quality double")
+    got = {r["word"]: r for r in functional.functions(functional.parts(morphs, prof, "word"), "word").collect()}
+    assert set(got) == set(range(40))
+    seen = set()
+    for w, ms in enumerate(words):
+        s = []
+        for i, m in enumerate(ms):
+            if m not in profiles:
+                s.append((m, False, 0.5, 0.0, 0.0, 0.0, 0.0, 0.75, "unknown", (0, 0, 0)))
+                continue
+            p = profiles[m]
+            place = "free" if len(ms) == 1 else "prefix" if i == 0 else "suffix" if i == len(ms) - 1 else "infix"
+            n = sum(p[f"observed_{x}"] for x in functional.PLACES)
+            share = p[f"observed_{place}"] / n if n else 0
+            fit = 0.55 * p[place] + 0.45 * share if share else p[place]
+            quality, steady = 0.9 if m == "E" else 0.75 if i % 2 else 0.2, 1 - p["instability"]
+            op = unit(0.65 * p["modifier"] + (0.4 if m in "AD" else 0) + (0.15 if m in "AC" else 0))
+            head = unit(0.22 * quality + 0.2 * max(p["nounness"], p["verbness"]) + 0.17 * steady + 0.16 * fit + 0.15 * p["authority"] + 0.1 * math.log(2) / math.log(8) - 0.18 * op)
+            mod = unit(0.45 * p["modifier"] + 0.2 * op + 0.18 * fit + 0.1 * quality + 0.07 * steady)
+            doubt = 0.45 * p["ambiguity"] + 0.35 * p["instability"] + 0.2 * (1 - p["authority"])
+            role = "uncertain" if doubt >= 0.72 else "operator" if op >= 0.58 and op >= head + 0.04 else "modifier" if mod >= 0.55 and mod >= head else "uncertain" if head < 0.42 else "predicate_head" if p["verbness"] > p["nounness"] else "nominal_head"
+            s.append((m, True, fit, p["authority"], head, mod, op, doubt, role, tuple(p[a] for a in functional.AXES)))
+        order = sorted(s, key=lambda x: -x[4])
+        heads = [x[0] for x in order if x[4] >= max(0.45, order[0][4] - 0.08)][:2]
+        ops = [x[0] for x in s if x[6] >= 0.55 and x[0] not in heads]
+        mods = [x[0] for x in s if x[5] >= 0.5 and x[0] not in heads and x[0] not in ops]
+        weights = [(0.35 + 0.45 * x[4] + 0.2 * x[3]) * {"operator": 0.65, "modifier": 0.65, "unknown": 0.3}.get(x[8], 1.0) for x in s]
+        noun, modifier, verb = (sum(a * x[9][k] for a, x in zip(weights, s)) / sum(weights) for k in range(3))
+        mean = lambda k: sum(x[k] for x in s) / len(s)  # noqa: B023, E731
+        local, penalty = sum(x[4] for x in order[:2]) / len(order[:2]), unit(mean(7) + 0.15 * sum(not x[1] for x in s) / len(s))
+        top = sorted((noun, modifier, verb), reverse=True)
+        gap = top[0] - top[1]
+        sure = unit(0.35 * local + 0.25 * mean(3) + 0.25 * mean(2) + 0.15 * unit(gap + 0.25) - 0.3 * penalty)
+        both, lead, told = 0.3 * sure + 0.15 * bool(mods) + 0.1 * bool(ops), order[0][8] == "operator", []
+        if heads:
+            told.append(("predicate_head_with_modification", 0.45 * verb + both) if verb >= noun else ("nominal_head_with_modification", 0.45 * noun + both))
+        if ops or lead:
+            told.append(("relational_operator", 0.3 * modifier + 0.25 * sure + (0.25 if lead or not heads else 0.05)))
+        if mods:
+            told.append(("modifier_operator", 0.55 * modifier + 0.25 * sure + 0.1))
+        if gap < 0.16 or not told:
+            told.append(("mixed_or_uncertain", 0.65 - gap + 0.2 * (1 - sure)))
+        label, score = max(told, key=lambda x: unit(x[1]))
+        r = got[w]
+        seen.add(label)
+        assert (r["inferred"], r["heads"], r["operators"], r["modifiers"]) == (label, heads, ops, mods)
+        assert r["uncertain"] == sorted({x[0] for x in s if not x[1] or x[7] >= 0.55 or x[2] <= 0.25})
+        raw = max(-1.0, min(1.0, 1.1 * (local - 0.5) + 0.6 * (mean(2) - 0.5) + 0.6 * (sure - 0.5) - 0.35 * penalty))
+        assert (r["score"], r["confidence"], r["raw"]) == pytest.approx((unit(score), sure, raw), abs=1e-4)
+    assert len(seen) >= 3
+
+
+def test_commands(spark, tmp_path):
+    from stratalex.__main__ import main
+
+    spark.createDataFrame([("colour",)], "needle string").write.parquet(str(tmp_path / "n"))
+    spark.createDataFrame([("color",), ("dog",)], "word string").write.parquet(str(tmp_path / "w"))
+    main(["fuzzy", str(tmp_path / "n"), str(tmp_path / "w"), str(tmp_path / "f")])
+    assert [r["word"] for r in spark.read.parquet(str(tmp_path / "f")).collect()] == ["color"]
+    (tmp_path / "d.json").write_text(json.dumps([{"word": "Na-z", "definition": "x", "canon_word": False}, {"word": "Ol", "alternates": [{"value": "onaz"}], "canon_word": True}, {"word": "Ti"}]))
+    for given, expect in ((["--alternates", "1"], ["Na-z", "Ol"]), ([], ["Na-z"]), (["--canon-only", "1", "--alternates", "1"], ["Ol"])):
+        out = str(tmp_path / f"g{len(given)}")
+        main(["find-ngram", str(tmp_path / "d.json"), out, "--ngram", "N az!", *given, "--format", "json"])
+        assert sorted(r["word"] for r in spark.read.json(out).collect()) == expect
