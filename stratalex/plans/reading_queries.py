@@ -49,7 +49,7 @@ def _transitions(spark, d):
 
 @query("n38_phrase_beam")
 def _beam(spark, d):
-    turns = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("at"), F.char_length(F.coalesce("text", F.lit(""))).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(2))).cast("long").alias("choice"))
+    turns = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("at"), F.char_length(F.coalesce("text", F.lit(""))).alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("choice"))
     mark = turns.withColumn("k", F.col("at") * 3 + F.col("choice") + F.col("n"))
     return R.phrase_beam(
         mark.select(

@@ -224,3 +224,24 @@ def test_commands(spark, tmp_path):
         out = str(tmp_path / f"g{len(given)}")
         main(["find-ngram", str(tmp_path / "d.json"), out, "--ngram", "N az!", *given, "--format", "json"])
         assert sorted(r["word"] for r in spark.read.json(out).collect()) == expect
+
+
+def test_queries_without_sql(spark):
+    read = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet").collect()
+    parts = read("part")
+    words = {}
+    for r in parts:
+        k = r["p_partkey"]
+        words.setdefault(f"{r['p_brand']} {r['p_size']}", []).append({"k": k, "score": (k % 23) / 40, "parts": k % 5 + 1, "singles": k % 3})
+    expect = {(w, r["k"], n, r["moved"]) for w, own in words.items() for n, r in enumerate(readings.fewer_parts(sorted(own, key=lambda r: (-r["score"], r["k"]))), 1)}
+    assert rows(registry.queries()["w10_fewer_parts"](spark, DATA)) == expect
+    turns = {}
+    for r in read("conversations"):
+        turns.setdefault(r["conv_id"], set()).add(r["turn"])
+    found = {}
+    for c, rank, score, choices in rows(registry.queries()["n38_phrase_beam"](spark, DATA)):
+        found.setdefault(c, []).append((rank, score, choices))
+    assert set(found) == set(turns) and all(len(p[2]) == len(turns[c]) and set(p[2]) <= {0, 1, 2} for c, ps in found.items() for p in ps)
+    assert all([p[0] for p in sorted(ps)] == [1, 2, 3] and sorted((p[1] for p in ps), reverse=True) == [p[1] for p in sorted(ps)] for ps in found.values())
+    got = registry.queries()["n37_word_functions"](spark, DATA).collect()
+    assert sorted(r["p_partkey"] for r in got) == sorted(r["p_partkey"] for r in parts) and len({r["inferred"] for r in got}) >= 3
