@@ -81,3 +81,33 @@ def _place(spark, d):
 @query("w8_best_of_key", "WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) SELECT o_custkey, o_orderkey FROM r WHERE k = 1")
 def _best(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("o_orderkey"))
+
+
+@query("f7_valid_json", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_valid(props) AND trim(props) <> ''")
+def _valid(spark, d):
+    rows = table(spark, d, "events").where("trim(props) <> '' and try_parse_json(props) is not null")
+    return rows.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("f16_inverse_lookup", "SELECT DISTINCT l_suppkey AS morph, l_orderkey AS token FROM lineitem WHERE l_suppkey IN (1, 2, 3)")
+def _inverse(spark, d):
+    return table(spark, d, "lineitem").where("l_suppkey in (1, 2, 3)").select(F.col("l_suppkey").alias("morph"), F.col("l_orderkey").alias("token")).distinct()
+
+
+@query("a10_length_histogram", "SELECT count(*) FILTER (n = 0) AS zero, count(*) FILTER (n = 1) AS single, count(*) FILTER (n > 1) AS multi FROM (SELECT len(list_filter(string_split(p_name, ' '), lambda x: x > 'm')) AS n FROM part)")
+def _lengths(spark, d):
+    n = F.size(F.filter(F.split("p_name", " "), lambda x: x > "m"))
+    return table(spark, d, "part").agg(*[F.count_if(c).alias(k) for k, c in (("zero", n == 0), ("single", n == 1), ("multi", n > 1))])
+
+
+@query("a11_recurrence", "SELECT lower(event_type) AS span, count(*) AS n, round(avg(value), 6) AS residual, round(avg(event_id % 7 / 7), 6) AS coverage FROM events GROUP BY 1")
+def _recurrence(spark, d):
+    return table(spark, d, "events").groupBy(F.lower("event_type").alias("span")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("residual"), F.round(F.avg(F.col("event_id") % 7 / 7), 6).alias("coverage"))
+
+
+@query("j9_zipped_arrays", """
+WITH a AS (SELECT p_partkey, string_split(p_name, ' ') AS w, string_split(p_type, ' ') AS t FROM part), z AS (SELECT p_partkey, w, t, unnest(range(1, least(len(w), len(t)) + 1)) AS i FROM a) SELECT p_partkey, i AS place, w[i] AS l, t[i] AS r FROM z""")
+def _zipped(spark, d):
+    a = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("l"), F.split("p_type", " ").alias("r"))
+    both = a.withColumn("n", F.least(F.size("l"), F.size("r"))).select("p_partkey", F.posexplode(F.arrays_zip(F.slice("l", F.lit(1), F.col("n")).alias("l"), F.slice("r", F.lit(1), F.col("n")).alias("r"))).alias("i", "z"))
+    return both.select("p_partkey", (F.col("i") + 1).cast("long").alias("place"), F.col("z.l"), F.col("z.r"))
