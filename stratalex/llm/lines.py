@@ -7,13 +7,21 @@ lines that occurs again, the copy in the least doc_id stays (within a document,
 after its bytes have been compared: chunks meet by digest and by text, and a digest that two different texts share
 removes nothing.
 
+``clean`` goes on to single lines, which chunks with limits of chance leave: it removes every line that stands in a run of
+whole lines, of ``min_chars`` characters or more in all, which an earlier document holds in the same order (or the same
+document, earlier and not overlapping). To find them all, the units compared are, for each line, the shortest run of
+that size that starts with it and the shortest that ends with it; a line that is long enough is such a run by itself.
+Each repeated chunk consists of such runs, so all of it goes too.
+
 Defined results: a null text stays null; an empty one has one empty line; rows that share a doc_id are
 judged alike; a row without doc_id keeps what other rows repeat; chunks of less than ``min_chars``
-characters and single lines stay; further columns are kept whatever their names are; an empty table gives no rows.
+characters and single lines stay in ``report``, runs of less than that in ``clean``; further columns are kept whatever their names are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +79,42 @@ def report(docs: DataFrame) -> DataFrame:
     return dedup_chunks(docs.select("doc_id", "text")).select("doc_id", F.col("__sx_lines").alias("n_lines"), F.col("__sx_gone").alias("n_removed"), F.sha2("__sx_text", 256).alias("clean_sha256"))
 
 
+def _runs(min_chars: int) -> str:
+    """array<struct<s, n, t, h>>: first line, number of lines, text and digest of each run of the column ``lines``, in order."""
+    m = min_chars
+    # no run has more than m + 1 lines, as each adds a line break at least
+    least = lambda part, s: f"aggregate({part}, named_struct('n', 0, 'c', -1), (a, x) -> if(a.c >= {m}, a, named_struct('n', a.n + 1, 'c', a.c + 1 + char_length(x))), a -> if(a.c >= {m}, ({s}) * 1024L + a.n, null))"
+    after = f"transform(lines, (l, i) -> if(char_length(l) >= {m}, (i + 1) * 1024L + 1, {least(f'slice(lines, i + 1, {m} + 1)', 'i + 1')}))"
+    before = f"transform(lines, (l, i) -> if(char_length(l) >= {m}, null, {least(f'reverse(slice(lines, greatest(1, i + 1 - {m}), least(i + 1, {m} + 1)))', 'i + 2 - a.n')}))"
+    text = "transform(sort_array(array_distinct(filter(concat({0}, {1}), w -> w is not null))), w -> named_struct('s', int(w div 1024), 'n', int(w % 1024), 't', array_join(slice(lines, int(w div 1024), int(w % 1024)), '\\n')))".format(after, before)
+    return f"transform({text}, c -> named_struct('s', c.s, 'n', c.n, 't', c.t, 'h', md5(c.t)))"
+
+
+def runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs``, its lines in ``__sx_lines`` and its runs in ``__sx_chunks``, each with whether the document has had it."""
+    if not 0 < min_chars < 1023:
+        raise ValueError("min_chars must be from 1 to 1022")
+    out = docs.withColumn("__sx_lines", F.split("text", "\n", -1))
+    out = out.withColumn("__sx_chunks", F.expr(re.sub(r"\blines\b", "__sx_lines", _runs(min_chars))))
+    first = "__sx_chunks[int(array_position(h, c.h) - 1)]"
+    had = f"{first}.t = c.t and c.s >= {first}.s + c.n"
+    return out.withColumn("__sx_chunks", F.expr(f"aggregate(array(transform(__sx_chunks, c -> c.h)), cast(null as array<struct<s:int,n:int,t:string,h:string,had:boolean>>), (z, h) -> transform(__sx_chunks, c -> named_struct('s', c.s, 'n', c.n, 't', c.t, 'h', c.h, 'had', {had})))"))
+
+
+def dedup_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with ``__sx_text``: what stays without the lines of repeated runs."""
+    small = runs(docs.select("doc_id", "text"), min_chars)
+    again = stored(repeated(small), "runs")
+    seen = small.where("doc_id is not null").select("doc_id", F.explode(F.expr("transform(filter(__sx_chunks, c -> not c.had), c -> c.h)")).alias("__sx_h"))
+    gone = seen.join(again, "__sx_h").where("doc_id > __sx_keep").groupBy(F.col("doc_id").alias("__sx_id")).agg(F.collect_set("__sx_h").alias("__sx_drop"))
+    both = runs(docs, min_chars).join(gone, F.col("doc_id") == F.col("__sx_id"), "left").drop("__sx_id")
+    out = "flatten(transform(filter(__sx_chunks, c -> c.had or coalesce(array_contains(__sx_drop, c.h), false)), c -> sequence(c.s, c.s + c.n - 1)))"
+    stays = f"transform(array_except(sequence(1, size(__sx_lines)), {out}), i -> __sx_lines[i - 1])"
+    return both.withColumn("__sx_text", F.expr(f"if(text is null, null, array_join({stays}, '\\n'))")).drop("__sx_chunks", "__sx_drop", "__sx_lines")
+
+
 def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``; ``n_chars``, if there, follows it."""
-    out = dedup_chunks(docs)
+    """``docs`` with the lines of repeated runs taken out of ``text``; ``n_chars``, if there, follows it."""
+    out = dedup_runs(docs)
     new = {"text": F.col("__sx_text")} | ({"n_chars": F.char_length("__sx_text").cast("long")} if "n_chars" in docs.columns else {})
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
