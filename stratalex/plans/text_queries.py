@@ -144,6 +144,14 @@ def _strings(spark, d):
     )
 
 
+@query("x1_whole_distance", """
+WITH t AS (SELECT item_id, regexp_replace(text, '[^a-z ]', '', 'g') AS t FROM benchmark)
+SELECT a.item_id, levenshtein(a.t, b.t) AS distance FROM t a JOIN t b ON b.item_id = a.item_id + 1""")
+def _whole_distance(spark, d):
+    t = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "[^a-z ]", "").alias("t"))
+    return t.join(t.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("other")), "item_id").select("item_id", F.levenshtein("t", "other").cast("long").alias("distance"))
+
+
 @query("x4_collapse_repeats", """
 WITH t AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id)
 SELECT conv_id, array_to_string([r[i] FOR i IN range(1, len(r) + 1) IF i = 1 OR r[i] <> r[i - 1]], '>') AS roles FROM t""")
@@ -259,6 +267,13 @@ def _reassembly(spark, d):
     return rows.select("conv_id", F.array_join(F.transform("p", lambda x: x["t"]), " | ").alias("dialogue"), "n")
 
 
+@query("y12_whole_reassembly", """
+SELECT conv_id, string_agg(role || ': ' || text, ' | ' ORDER BY turn) AS dialogue, count(*) AS n FROM conversations GROUP BY conv_id""")
+def _whole_reassembly(spark, d):
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t")))).alias("p"), F.count(F.lit(1)).alias("n"))
+    return rows.select("conv_id", F.array_join(F.transform("p", lambda x: x["t"]), " | ").alias("dialogue"), "n")
+
+
 @query("w11_running_budget", """
 WITH t AS (SELECT conv_id, turn, len(regexp_extract_all(text, '[^ ]+')) AS n FROM conversations), r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS running FROM t)
 SELECT conv_id, turn, n, running::BIGINT AS running FROM r WHERE running <= 75""")

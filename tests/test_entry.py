@@ -36,6 +36,15 @@ def test_against_sql(spark, name):
     assert sorted(tuple(shown(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(shown(r[k]) for k in at) for r in out.fetchall())
 
 
+def test_whole_texts_are_read(spark):
+    con = duckdb.connect()
+    q = registry.queries()
+    size = con.execute(f"select sum(length(text)) from '{DATA}/conversations.parquet'").fetchone()[0]
+    rows = q["y12_whole_reassembly"](spark, DATA).collect()
+    assert sum(len(r["dialogue"]) for r in rows) > size and sum(r["n"] for r in rows) == con.execute(f"select count(*) from '{DATA}/conversations.parquet'").fetchone()[0]
+    assert max(r["distance"] for r in q["x1_whole_distance"](spark, DATA).collect()) > 20
+
+
 def test_nothing_else_imports_the_subpackage():
     found = [p for p in (ROOT / "stratalex").rglob("*.py") if "llm" not in p.relative_to(ROOT).parts and re.search(r"\bllm\b", p.read_text())]
     assert not found
