@@ -17,5 +17,5 @@ def queries() -> dict:
         "op7_secret_scan": lambda spark, d: secrets.scan(table(spark, d, "documents")),
         "op8_substring_dedup": lambda spark, d: passages.dedup_passages(table(spark, d, "documents")),
         "op9_near_duplicates": lambda spark, d: neardup.components(table(spark, d, "documents")),
-        "op10_language_id": lambda spark, d: language.identify(table(spark, d, "documents")).drop("rejected"),
+        "op10_language_id": lambda spark, d: language.identify(table(spark, d, "documents")),
     }

@@ -333,6 +333,21 @@ def test_language(spark):
     assert (got[1000]["lang_pred"], got[1001]["lang_pred"]) == ("und", "und") and all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_rejects_what_was_not_learned(spark):
+    assert "rejected" in queries.queries()["op10_language_id"](spark, DATA).columns
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language.fit(docs)
+    rng = random.Random(13)
+    kinds = {"cyrillic": range(0x430, 0x450), "greek": range(0x3B1, 0x3CA), "han": range(0x4E00, 0x5E00), "hangul": range(0xAC00, 0xBC00), "armenian": range(0x561, 0x587), "georgian": range(0x10D0, 0x10F1), "latin": range(97, 123), "consonants": [ord(c) for c in "bcdfghjklmnpqrstvwxz"]}
+    noise = lambda letters, n: " ".join("".join(chr(rng.choice(letters)) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    rows = [(k, noise(letters, n)) for k, (letters, n) in enumerate((x, n) for x in kinds.values() for n in (5, 20, 100, 500, 3000))]
+    got = language.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert all(r["rejected"] for r in got)
+    assert language.clean(spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))).count() == 0
+    own = language.predict(docs.where(F.length("text") > 200), model).agg(F.avg(F.col("rejected").cast("int")).alias("r")).first()["r"]
+    assert own < 0.02
+
+
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
