@@ -107,7 +107,7 @@ def dedup_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     again = stored(repeated(small), "runs")
     seen = small.where("doc_id is not null").select("doc_id", F.explode(F.expr("transform(filter(__sx_chunks, c -> not c.had), c -> c.h)")).alias("__sx_h"))
     gone = seen.join(again, "__sx_h").where("doc_id > __sx_keep").groupBy(F.col("doc_id").alias("__sx_id")).agg(F.collect_set("__sx_h").alias("__sx_drop"))
-    both = runs(docs, min_chars).join(gone, F.col("doc_id") == F.col("__sx_id"), "left").drop("__sx_id")
+    both = runs(docs.join(gone, F.col("doc_id") == F.col("__sx_id"), "left").drop("__sx_id"), min_chars)  # runs are cut again rather than shuffled
     out = "flatten(transform(filter(__sx_chunks, c -> c.had or coalesce(array_contains(__sx_drop, c.h), false)), c -> sequence(c.s, c.s + c.n - 1)))"
     stays = f"transform(array_except(sequence(1, size(__sx_lines)), {out}), i -> __sx_lines[i - 1])"
     return both.withColumn("__sx_text", F.expr(f"if(text is null, null, array_join({stays}, '\\n'))")).drop("__sx_chunks", "__sx_drop", "__sx_lines")
