@@ -5,7 +5,7 @@ space made one blank, equivalent spellings made one. The digests of the canonica
 licence texts and notices are the catalogue; a document is a licence if the digest of its entire text is
 in it (hash join), and it carries a notice if that of one of its lines is.
 
-The catalogue is fixed data of a few entries, so it is broadcast. More texts can be given as
+The catalogue is fixed data of a few entries, short texts and notices in full and long licences as digests, so it is broadcast. More texts can be given as
 (name, text) pairs; from ``MOST`` entries on the join is left to the planner.
 
 Defined results: a null text is an empty one, which is no licence; repeated rows are judged one by
@@ -50,6 +50,26 @@ TEXTS = {
     "BSD-3-Clause": (_BSD_TWO + _BSD_THREE + _BSD_REST, f"BSD 3-Clause License\n\n{_BSD_TWO}{_BSD_THREE}{_BSD_REST}"),
 }
 CATALOGUE = [(name, text) for known in (NOTICES, TEXTS) for name, texts in known.items() for text in texts]
+#: Digests of the canonical forms of long licence texts, as Debian's common-licenses has them (Boost and Unlicense: as their
+#: projects publish them); those with an "END OF TERMS" line also cut before and after it, Apache-2.0 also with its appendix filled in.
+DIGESTS = {
+    "Apache-2.0": ("824065d72ca31b7c727341396be4cf76f464b15d9bef680a3638007ce92a009f", "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40", "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),
+    "Artistic-1.0-Perl": ("08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",),
+    "BSD-3-Clause": ("21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",),
+    "BSL-1.0": ("4242941f56cc0aaf7a416006734167273b17a074704308b941e02a99526671b6",),
+    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
+    "GFDL-1.2": ("15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",),
+    "GFDL-1.3": ("2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",),
+    "GPL-1.0": ("89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc", "98db0b473e0a45a62b04a39b6b864b4e079a58d513e2196f94fe7252fa8574a6"),
+    "GPL-2.0": ("6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34", "e95eb1718f9f373d56cc586a5f7d1bfa11668867f6e85e982d2b6108b97d90a1"),
+    "GPL-3.0": ("092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636", "5e06bcb7b8c914d3ffb433229937b503a624ae6c7bb9ac1cad01e35a324bcb6d"),
+    "LGPL-2.0": ("430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260", "e4deecd0730802431ad09f00ae3793f3703c8e4dba639586545d9f958405614d"),
+    "LGPL-2.1": ("bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4", "d3826e4e563a04a354453ff139a32b19d6c3fe283f518eb566107c54e18cd01f"),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-1.1": ("cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6",),
+    "MPL-2.0": ("6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d",),
+    "Unlicense": ("e2380bdfe57ca73b01d0b1848a4ee630998d729b260e63082b9267100b4a7229",),
+}
 #: A line that states a copyright: the word or sign first, and a year or a second sign after it.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*([0-9]{4}|\(c\)|©)[^\n]*$|^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
 
@@ -69,9 +89,10 @@ def canonical(lines: Column) -> Column:
 
 
 def catalogue(spark, texts: list[tuple[str, str]] = CATALOGUE) -> DataFrame:
-    """digest, name: a row for each canonical form."""
+    """digest, name: a row for each canonical form, those of ``DIGESTS`` among them."""
     known = spark.createDataFrame(texts, "name string, text string")
-    return known.select("name", F.sha2(canonical(canonical_lines(F.col("text"))), 256).alias("digest")).groupBy("digest").agg(F.min("name").alias("name"))
+    long = spark.createDataFrame([(name, d) for name, found in DIGESTS.items() for d in found], "name string, digest string")
+    return known.select("name", F.sha2(canonical(canonical_lines(F.col("text"))), 256).alias("digest")).union(long).groupBy("digest").agg(F.min("name").alias("name"))
 
 
 def scan(docs: DataFrame, texts: list[tuple[str, str]] = CATALOGUE) -> DataFrame:

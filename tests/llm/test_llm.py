@@ -76,6 +76,20 @@ def test_licenses(spark):
     assert got[1]["text_sha256"] == got[2]["text_sha256"] and (got[4]["n_notices"], got[4]["notices"]) == (2, "MIT")
 
 
+def test_long_licenses(spark):
+    known = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    texts = {k: open(f"/usr/share/common-licenses/{k}", encoding="utf-8").read() for k in known if os.path.exists(f"/usr/share/common-licenses/{k}")}
+    if not texts:
+        pytest.skip("no licence texts on this machine")
+    names = sorted(texts)
+    rows = [(k, texts[x].upper().replace("\n", "\r\n  "), None, None) for k, x in enumerate(names)]
+    rows += [(100 + k, texts[x].split("END OF TERMS AND CONDITIONS")[0], None, None) for k, x in enumerate(names)]
+    rows += [(200 + k, texts[x] + "\nand no more", None, None) for k, x in enumerate(names)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(frame(spark, rows)).collect()}
+    assert [got[k] for k in range(len(names))] == [got[100 + k] for k in range(len(names))] == [known[x] for x in names]
+    assert not any(got[200 + k] for k in range(len(names)))
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (2, 0, "system", "alone"), (None, None, None, "x"), (None, 1, "bob", "y")]
     segments = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("block", F.lit("clash")))
