@@ -5,7 +5,10 @@ no whole line repeats but its sentences do. A unit is normalised (case folded, a
 made one blank) and hashed to 128 bits. Digests are grouped globally, the occurrence with the least rank
 (doc_id, then offset) stays, and every other one goes, its original offsets kept.
 
-Units of fewer than ``MIN_WORDS`` words are too common to be copies and are left alone.
+Units of fewer than ``MIN_WORDS`` words are too common to be copies. Short sentences and short lines are therefore units together with
+their neighbours, across line ends: for each, the shortest run of sentences with ``MIN_WORDS`` words that starts with it and the shortest
+that ends with it. So of a repeated passage of whole sentences with as many words, every sentence lies in a repeated unit. Where
+a script sets no blanks between words, two characters count as a word.
 
 Defined results: a null or empty text has no unit; rows that share a doc_id are one document, whose
 occurrences are ranked together; a row without doc_id is never removed from; removals that overlap or touch
@@ -25,34 +28,60 @@ from pyspark.sql import functions as F
 from .common import stored
 
 MIN_WORDS = 8
-UNIT = re.compile(r"[^.!?]+[.!?]*")
+UNIT = re.compile(r"[^.!?。！？｡।]+[.!?。！？｡।]*")
+#: Letters of scripts that set no blanks between words: Thai, Lao, Myanmar, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _WORD = re.compile(r"[^\W_]+")
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of each line and of each sentence of several in a line.
+    """(start, end, digest) of each line, of each sentence of several in a line, and of runs of short sentences.
 
     White space around a unit isn't part of it.
     """
+    unspaced = _UNSPACED.search(text) is not None
+    parts: list[tuple[int, int, str, int]] = []  # start, end, words and their number of each sentence that has a word
+    seen = set()
     at = 0
+
+    def unit(start: int, end: int, own: list) -> Iterator[tuple[int, int, bytes]]:
+        if (start, end) not in seen:
+            seen.add((start, end))
+            yield start, end, hashlib.blake2b(" ".join(x[2] for x in own).encode(), digest_size=16).digest()
+
     for line in text.split("\n"):
-        whole = None
+        first = len(parts)
         for m in UNIT.finditer(line):
-            unit = _unit(m[0], at + m.start(), min_words)
-            if unit:
-                yield unit
-                whole = unit if len(m[0].strip()) == len(line.strip()) else whole
-        if not whole and (unit := _unit(line, at, min_words)):
-            yield unit
+            s = m[0]
+            if found := _WORD.findall(s):
+                start = at + m.start() + len(s) - len(s.lstrip())
+                parts.append((start, start + len(s.strip()), " ".join(found).lower(), _size(found) if unspaced else len(found)))
+                if parts[-1][3] >= min_words:
+                    yield from unit(*parts[-1][:2], parts[-1:])
+        own = parts[first:]
+        if sum(x[3] for x in own) >= min_words:
+            start = at + len(line) - len(line.lstrip())
+            yield from unit(start, start + len(line.strip()), own)
         at += len(line) + 1
-
-
-def _unit(s: str, at: int, min_words: int) -> tuple[int, int, bytes] | None:
-    found = _WORD.findall(s)
-    if len(found) < min_words:
-        return None
-    start = at + len(s) - len(s.lstrip())
-    return start, start + len(s.strip()), hashlib.blake2b(" ".join(found).lower().encode(), digest_size=16).digest()
+    for k, x in enumerate(parts):
+        if x[3] < min_words:
+            n, j = x[3], k
+            while n < min_words and j + 1 < len(parts):
+                j += 1
+                n += parts[j][3]
+            if n >= min_words:
+                yield from unit(x[0], parts[j][1], parts[k : j + 1])
+            n, j = x[3], k
+            while n < min_words and j > 0:
+                j -= 1
+                n += parts[j][3]
+            if n >= min_words:
+                yield from unit(parts[j][0], x[1], parts[j : k + 1])
+
+
+def _size(found: list[str]) -> int:
+    """Number of words, two characters of a script without blanks counted as one."""
+    return sum(max(1, (len(_UNSPACED.findall(w)) + 1) // 2) for w in found)
 
 
 def _rows(min_words: int):
@@ -83,7 +112,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # in the document that keeps the unit, its first occurrence stays
     first = again.where("doc_id = first_doc").groupBy("digest").agg(F.min("place").alias("first_place")).withColumnRenamed("digest", "f_digest")
     later = again.where("doc_id > first_doc").select("doc_id", "place")
-    same = again.where("doc_id = first_doc").join(first, F.col("digest") == F.col("f_digest")).where("place > first_place").select("doc_id", "place")
+    # one that overlaps it is part of what stays
+    same = again.where("doc_id = first_doc").join(first, F.col("digest") == F.col("f_digest")).where(F.shiftright("place", 32) >= F.col("first_place").bitwiseAND(F.lit(2**32 - 1))).select("doc_id", "place")
     return later.unionByName(same).select("doc_id", F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND(F.lit(2**32 - 1)).alias("end"))
 
 

@@ -280,6 +280,21 @@ def test_passages_against_brute_force(spark):
         assert cut[i] == "".join(c for c, g in zip(t, gone) if not g)
 
 
+def test_passages_of_short_units(spark):
+    verse = "\n".join(f"line {k} of verse" for k in range(20))
+    short = " ".join(f"Short one {k}!" for k in range(20))
+    han = "\n".join("天地玄黄宇宙洪荒日月盈昃辰宿列张"[k:] + "寒来暑往秋收冬藏。" for k in range(5))
+    shared = [verse, short, han]
+    docs = [(k, f"Opening {k} with words of its own\n" + x + "\nlast words", None, None) for k, x in enumerate(shared)]
+    docs += [(10 + k, f"another start {k} that is not shared by any. " + x + "\nclosing remark", None, None) for k, x in enumerate(shared)]
+    docs.append((20, "no no " * 3 + "\n" + "Yes.\n" * 30, None, None))
+    got = {r["doc_id"]: r["text"] for r in passages.cut(frame(spark, docs)).collect()}
+    for k, x in enumerate(shared):
+        assert got[k] == docs[k][1]
+        assert got[10 + k].split() == f"another start {k} that is not shared by any. closing remark".split()
+    assert got[20].count("Yes.") >= 8
+
+
 def _components(docs):
     sets = {}
     for i, t in docs:
