@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import char_ngrams
 from .residual import subtract
+from .tables import stored
 
 DEPTH, BRANCHES = 4, 3
 #: The order in which sources are trusted; any other comes last.
@@ -25,11 +26,6 @@ SOURCES = ("dictionary", "sqlite")
 TRACE = ("host", "target", "depth", "token", "donor", "source", "residual", "variant", "reason")
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """The rows, cut from their lineage where a checkpoint folder is set."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.cache()
-
-
 def _trust(source: Column) -> Column:
     out = F.lit(len(SOURCES))
     for k, name in reversed(list(enumerate(SOURCES))):
@@ -59,13 +55,13 @@ def resolve(hosts: DataFrame, roots: DataFrame, depth: int = DEPTH, branches: in
     """A row (``TRACE``) for each step of the ``hosts`` (host, target) through ``roots`` (donor, source), and for each dead end."""
     low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     known = roots.select(low("donor").alias("donor"), "source", _trust(F.col("source")).alias("trust")).where("donor <> ''")
-    known = _kept(known.groupBy("donor").agg(F.min_by("source", F.struct("trust", "source")).alias("source"), F.min("trust").alias("trust")))
+    known = stored(known.groupBy("donor").agg(F.min_by("source", F.struct("trust", "source")).alias("source"), F.min("trust").alias("trust")), "roots")
     longest = known.agg(F.max(F.char_length("donor"))).first()[0] or 1
     nodes = hosts.select(low("host").alias("host"), low("target").alias("target")).distinct()
     nodes = nodes.select("host", "target", F.col("host").alias("token"), F.array().cast("array<string>").alias("path"))
     nothing, traces = F.lit(None).cast("string"), []
     for level in range(depth + 2):
-        nodes = _kept(nodes.where("token <> target or token = ''"))
+        nodes = stored(nodes.where("token <> target or token = ''"), "nodes")
         ended = F.when(F.col("token") == "", "empty_token").when(F.col("target") == "", "empty_target").when(F.lit(level > depth), "max_depth_reached")
         nodes = nodes.withColumn("reason", ended)
         end = lambda rows: rows.select("host", "target", F.lit(level).alias("depth"), "token", nothing.alias("donor"), nothing.alias("source"), nothing.alias("residual"), nothing.alias("variant"), "reason")  # noqa: B023, E731
@@ -73,7 +69,7 @@ def resolve(hosts: DataFrame, roots: DataFrame, depth: int = DEPTH, branches: in
         if level > depth:
             break
         open_ = nodes.where("reason is null").drop("reason")
-        steps = _kept(_steps(open_, known, longest, branches))
+        steps = stored(_steps(open_, known, longest, branches), "steps")
         dead = open_.join(steps.select("host", "target", "path").distinct(), ["host", "target", "path"], "left_anti")
         traces.append(end(dead.withColumn("reason", F.lit("no_viable_donor"))))
         source = F.lit("host_subtraction") if level == 0 else F.col("source")

@@ -1,4 +1,4 @@
-"""Operators over tables of vectors: centroids, cohesion, alignment, leave-one-out attribution, components."""
+"""Operators over tables of vectors: centroids, cohesion, alignment, leave-one-out attribution."""
 
 from __future__ import annotations
 
@@ -52,19 +52,6 @@ def leave_one_out(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", given_b.alias("x"), given_a.alias("y")).groupBy("a", "b").agg(F.avg("x").alias("delta_a"), F.avg("y").alias("delta_b"), F.count(F.lit(1)).alias("n"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (least reachable node) by spreading least labels; rounds are checkpointed if a folder is set."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().cache()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        new = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
-        new = new.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else new.cache()
-        labels = new.select("node", "component")
-        if not new.where("old <> component").limit(1).count():
-            return labels
-
-
 def kmeans(rows: DataFrame, item: str, k: int, seed: int = 42, vec: str = "vec") -> DataFrame:
     """item, cluster (0 to k - 1) by cosine over unit vectors; rows without a direction are in no cluster."""
     from pyspark.ml.clustering import KMeans
@@ -75,4 +62,4 @@ def kmeans(rows: DataFrame, item: str, k: int, seed: int = 42, vec: str = "vec")
     return model.transform(own).select(item, F.col("prediction").cast("long").alias("cluster"))
 
 
-__all__ = ["best_alignment", "centroid_similarity", "cohesion", "components", "dot", "kmeans", "leave_one_out", "mean_vectors", "norm"]
+__all__ = ["best_alignment", "centroid_similarity", "cohesion", "dot", "kmeans", "leave_one_out", "mean_vectors", "norm"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions.vectors import cosine
-from ..operators import scoring, store
+from ..operators import graph, scoring, store
 from ..operators import vectors as V
 from ..operators.factorize import ridge
 from ..operators.residual import weighted_coverage
@@ -237,7 +237,7 @@ SELECT s_suppkey AS node, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS comp
 def _components(spark, d):
     w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
     edges = table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.lag("s_suppkey").over(w).alias("b")).where("b is not null")
-    return V.components(edges)
+    return graph.connect(edges)
 
 
 @query("n28_weighted_score", """

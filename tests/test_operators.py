@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stratalex.functions import stats, text
 from stratalex.functions.vectors import cosine
-from stratalex.operators import ngrams, residual, scoring, segment, store
+from stratalex.operators import graph, ngrams, residual, scoring, segment, store
 from stratalex.operators import vectors as V
 from stratalex.operators.collocation import collocations
 from stratalex.operators.factorize import ridge
@@ -57,7 +57,7 @@ def test_vectors(spark):
 
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 9), (9, 8)]
-    got = {r["node"]: r["component"] for r in V.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in graph.connect(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 10: 8}
 
 
