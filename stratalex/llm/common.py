@@ -2,42 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+from ..operators.tables import drop, owned, release, shared_dir, split_join, stored
 
+#: Rows and bytes of an Arrow batch: what a Python worker holds at once.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only a local session may do without that setting; it then uses the machine's temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/stratalex-checkpoints"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts its lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stratalex/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, so that Python workers stay small whatever a text's length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``stored`` has written in this session; frames built on them end."""
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def pieces(batch: pa.RecordBatch, text: int | str, rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about ``size`` bytes in the column ``text``, one longer text at least, and ``rows`` rows at most."""
+    lengths = pa.compute.binary_length(batch.column(text)).to_pylist()
+    first, held = 0, 0
+    for k, n in enumerate(lengths):
+        if k > first and (held + (n or 0) > size or k - first >= rows):
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += n or 0
+    if first < len(lengths):
+        yield batch.slice(first)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "drop", "owned", "pieces", "release", "shared_dir", "small_batches", "split_join", "stored", "table"]
