@@ -67,13 +67,16 @@ def release(spark: SparkSession) -> None:
     drop(spark, _unowned)
 
 
-def split_join(many: DataFrame, one: DataFrame, key: str, per: int = PART_ROWS, counted: DataFrame | None = None) -> DataFrame:
+def split_join(many: DataFrame, one: DataFrame, key: str, per: int = PART_ROWS, counted: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Inner join of ``many`` with ``one``, a row for each key, on ``key``.
 
     Rows of a key that has more than ``per`` of them are dealt into parts by a hash of their other columns, and its row of ``one``
-    is copied for each part, so no task meets more of one key. ``counted`` has a row with ``key`` for each row of ``many``.
+    is copied for each part, so no task meets more of one key. ``counted`` has a row with ``key`` for each row of ``many``; ``counts``, if
+    they are known, have (key, n).
     """
-    counts = (many if counted is None else counted).groupBy(F.col(key).alias("__sx_hot")).agg(F.count(F.lit(1)).alias("__sx_n"))
+    if counts is None:
+        counts = (many if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(F.col(key).alias("__sx_hot"), F.col("n").alias("__sx_n"))
     hot = stored(counts.where(F.col("__sx_n") > per).select("__sx_hot", F.ceil(F.col("__sx_n") / per).cast("int").alias("__sx_parts")), "hot", narrow=True)
     others = [F.col(c) for c in many.columns if c != key]
     part: Column = F.coalesce(F.pmod(F.xxhash64(*others), F.col("__sx_parts")).cast("int"), F.lit(0))
