@@ -5,12 +5,13 @@ space made one blank, equivalent spellings made one. The digests of the canonica
 licence texts and notices are the catalogue; a document is a licence if the digest of its entire text is
 in it (hash join), and it carries a notice if that of one of its lines is.
 
-The catalogue is fixed data of a few entries, short texts and notices in full and long licences as digests, so it is broadcast. More texts can be given as
-(name, text) pairs; from ``MOST`` entries on the join is left to the planner.
+The catalogue is fixed data of a few entries, short texts and notices in full and long licences as digests; more texts can be given as
+(name, text) pairs, a list that the caller holds in the driver. A table of any size is scanned in the same way: whole texts are joined by digest (the
+planner sends the catalogue along while it is small), and a text's lines are looked up where they stand, in the set of the catalogue's digests.
 
-Defined results: a null text is an empty one, which is no licence; repeated rows are judged one by
-one; two catalogue texts with one canonical form are reported by the first name in order; further columns
-are ignored; an empty table gives no rows.
+Defined results: a null text is an empty one, which is no licence; a very long text is judged whole; repeated rows, rows that share a doc_id and rows without one are
+judged one by one, by their texts; two catalogue texts with one canonical form are reported by the first name in order; a line that is there twice counts twice;
+further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST = 10_000
 #: Spellings that licence matching treats as one, as public matching guidelines list them.
 EQUIVALENT = (
     ("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("non commercial", "noncommercial"),
@@ -98,14 +98,11 @@ def catalogue(spark, texts: list[tuple[str, str]] = CATALOGUE) -> DataFrame:
 def scan(docs: DataFrame, texts: list[tuple[str, str]] = CATALOGUE) -> DataFrame:
     """doc_id, text_sha256 (of the canonical form), license (of the entire text), n_notices, notices for every row."""
     known = catalogue(docs.sparkSession, texts)
-    known = F.broadcast(known) if len(texts) < MOST else known
+    names = {r["digest"]: r["name"] for r in known.collect()}  # no more than ``texts`` has
     rows = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
     rows = rows.select("doc_id", F.sha2(canonical(F.col("lines")), 256).alias("text_sha256"), F.transform(F.filter(F.split("lines", "\n"), lambda x: F.length(x) > 1), lambda x: F.sha2(F.trim(x), 256)).alias("lines"))
     whole = rows.join(known.select(F.col("digest").alias("text_sha256"), F.col("name").alias("license")), "text_sha256", "left")
-    if len(texts) < MOST:  # a document's lines are looked up where they stand, in the same catalogue as a map
-        pairs = [F.lit(x) for r in known.collect() for x in (r["digest"], r["name"])]
-        found = whole.withColumn("names", F.filter(F.transform("lines", lambda x: F.element_at(F.create_map(*pairs), x)), lambda x: x.isNotNull()))
-    else:
-        at = rows.select("doc_id", F.explode(F.array_distinct("lines")).alias("digest")).join(known, "digest").groupBy(F.col("doc_id").alias("at")).agg(F.collect_list("name").alias("names"))
-        found = whole.join(at, F.col("doc_id") == F.col("at"), "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    hits = whole.withColumn("hits", F.filter("lines", lambda x: x.isin(list(names))))
+    name = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    found = hits.withColumn("names", F.transform("hits", lambda x: F.element_at(name, x)))
     return found.select("doc_id", "text_sha256", "license", F.size("names").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("names")), ",").alias("notices"))
