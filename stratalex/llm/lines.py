@@ -1,8 +1,8 @@
 """Line dedup by content-defined chunks of lines.
 
 A line's hash is taken from its digest; a rolling hash over the hashes of two neighbouring lines
-chooses where chunks end, so a chunk's limits depend on what stands around them and not on where they
-stand, and lines that are put in or taken out move only the limits next to them. Of a chunk of two or more
+chooses where chunks end (with two lines in the window, rolling is to drop the line before the last one: h * 257 + the next line's hash), so a chunk's limits depend on
+what stands around them and not on where they stand, and lines that are put in or taken out move only the limits next to them. Of a chunk of two or more
 lines that occurs again, the copy in the least doc_id stays (within a document, the first one). A chunk goes only
 after its bytes have been compared: chunks meet by digest and by text, and a digest that two different texts share
 removes nothing.
@@ -13,15 +13,16 @@ document, earlier and not overlapping). To find them all, the units compared are
 that size that starts with it and the shortest that ends with it; a line that is long enough is such a run by itself.
 Each repeated chunk consists of such runs, so all of it goes too.
 
-Defined results: a null text stays null; an empty one has one empty line; rows that share a doc_id are
-judged alike; a row without doc_id keeps what other rows repeat; chunks of less than ``min_chars``
+Units are numbered within their document. Which of them the document has had before comes from sorting its digests, and what goes is taken
+off the numbers by hashing, so a document of a million lines costs what its length asks for.
+
+Defined results: a null text stays null; an empty one has one empty line; a very long text, or one of very many lines, is cut in whole; rows that share a doc_id are
+judged alike, each with its own lines; a row without doc_id keeps what other rows repeat; of equal documents the least doc_id keeps its lines; chunks of less than ``min_chars``
 characters and single lines stay in ``report``, runs of less than that in ``clean``; further columns are kept whatever their names are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,85 +33,105 @@ DIVISOR = 3
 MIN_CHARS = 32
 
 
-def _chunks(divisor: int) -> str:
-    """array<struct<n, t, h>>: number of lines, text and digest of each chunk of the column ``lines``."""
-    hashes = "transform(lines, l -> cast(conv(substring(md5(l), 1, 7), 16, 10) as bigint))"
-    ends = f"aggregate(array({hashes}), cast(array() as array<int>), (z, lh) -> filter(sequence(1, size(lh)), i -> i = size(lh) or (i > 1 and pmod(pmod(element_at(lh, i - 1) * 257 + element_at(lh, i), 1000003), {divisor}) = 0)))"
-    cut = "transform(e, (x, k) -> named_struct('n', x - if(k = 0, 0, element_at(e, k)), 't', array_join(slice(lines, if(k = 0, 0, element_at(e, k)) + 1, x - if(k = 0, 0, element_at(e, k))), '\\n')))"
-    return f"aggregate(array({ends}), cast(null as array<struct<n:int,t:string,h:string>>), (z, e) -> transform({cut}, c -> named_struct('n', c.n, 't', c.t, 'h', md5(c.t))))"
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _chunks(lines: str, divisor: int, min_chars: int) -> str:
+    """array<struct<s, n, t, h>>: first line, number of lines, text and digest of each chunk; no digest for one that always stays."""
+    hashes = "transform(ls, l -> cast(conv(substring(md5(l), 1, 7), 16, 10) as bigint))"
+    ends = f"filter(sequence(1, size(lh)), i -> i = size(lh) or (i > 1 and pmod(pmod(element_at(lh, i - 1) * 257 + element_at(lh, i), 1000003), {divisor}) = 0))"
+    cut = "transform(ends, (x, k) -> named_struct('s', if(k = 0, 0, element_at(ends, k)) + 1, 'n', x - if(k = 0, 0, element_at(ends, k)), 't', array_join(slice(ls, if(k = 0, 0, element_at(ends, k)) + 1, x - if(k = 0, 0, element_at(ends, k))), '\\n')))"
+    digests = f"transform({cut}, c -> named_struct('s', c.s, 'n', c.n, 't', c.t, 'h', if(c.n > 1 and char_length(c.t) >= {min_chars}, md5(c.t), null)))"
+    return f"if({lines} is null, null, {_let(lines, 'ls', _let(hashes, 'lh', _let(ends, 'ends', digests)))})"
+
+
+def _runs(lines: str, min_chars: int) -> str:
+    """array<struct<s, n, t, h>>: first line, number of lines, text and digest of each run, in order."""
+    m = min_chars
+    # no run has more than m + 1 lines, as each adds a line break at least
+    least = lambda part, s: f"aggregate({part}, named_struct('n', 0, 'c', -1), (a, x) -> if(a.c >= {m}, a, named_struct('n', a.n + 1, 'c', a.c + 1 + char_length(x))), a -> if(a.c >= {m}, ({s}) * 1024L + a.n, null))"
+    after = f"transform(ls, (l, i) -> if(char_length(l) >= {m}, (i + 1) * 1024L + 1, {least(f'slice(ls, i + 1, {m} + 1)', 'i + 1')}))"
+    before = f"transform(ls, (l, i) -> if(char_length(l) >= {m}, null, {least(f'reverse(slice(ls, greatest(1, i + 1 - {m}), least(i + 1, {m} + 1)))', 'i + 2 - a.n')}))"
+    text = "transform(sort_array(array_distinct(filter(concat({0}, {1}), w -> w is not null))), w -> named_struct('s', int(w div 1024), 'n', int(w % 1024), 't', array_join(slice(ls, int(w div 1024), int(w % 1024)), '\\n')))".format(after, before)
+    digests = f"transform({text}, c -> named_struct('s', c.s, 'n', c.n, 't', c.t, 'h', md5(c.t)))"
+    return f"if({lines} is null, null, {_let(lines, 'ls', digests)})"
+
+
+def _had(units: str, apart: bool) -> str:
+    """The numbers (from 0) of the units that stand in the document earlier; ``apart``: and don't overlap the first place."""
+    # by digest, then text, then place: equal units stand together, the first place first
+    places = "array_sort(filter(transform(us, (c, k) -> named_struct('h', c.h, 't', c.t, 'k', k, 's', c.s, 'n', c.n)), x -> x.h is not null))"
+    if not apart:
+        return _let(units, "us", _let(places, "ps", "transform(filter(ps, (x, i) -> i > 0 and ps[i - 1].h = x.h and ps[i - 1].t = x.t), x -> x.k)"))
+    # the number, among the sorted, of the first of each unit's equals: the greatest of the numbers at which a new unit begins
+    first = "aggregate(sequence(0, int(ceil(log2(size(ps) + 1)))), transform(ps, (x, i) -> if(i > 0 and ps[i - 1].h = x.h and ps[i - 1].t = x.t, -1, i)), (z, h) -> transform(z, (x, i) -> if(i >= shiftleft(1, h), greatest(x, z[i - shiftleft(1, h)]), x)))"
+    return _let(units, "us", _let(places, "ps", _let(first, "fs", "transform(filter(transform(ps, (x, i) -> named_struct('k', x.k, 's', x.s, 'f', fs[i])), x -> x.s >= ps[x.f].s + ps[x.f].n), x -> x.k)")))
+
+
+def _numbered(docs: DataFrame, units: str, apart: bool) -> DataFrame:
+    """``docs`` with ``__sx_units`` and ``__sx_had``, the numbers of those that the document has had before."""
+    out = docs.withColumn("__sx_lines", F.split("text", "\n", -1)).withColumn("__sx_units", F.expr(units))
+    return out.withColumn("__sx_had", F.expr(_had("__sx_units", apart)))
+
 
+def _mark(docs: DataFrame) -> DataFrame:
+    """``docs`` with a hash of the text, which tells rows of one doc_id apart."""
+    return docs.withColumn("__sx_mark", F.xxhash64("text"))
 
-def chunked(docs: DataFrame, divisor: int = DIVISOR, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` and its chunks in ``__sx_chunks``, each with whether it may go and whether the document has had it."""
-    out = docs.withColumn("__sx_lines", F.split("text", "\n", -1))
-    out = out.withColumn("__sx_chunks", F.expr(_chunks(divisor).replace("lines", "__sx_lines"))).drop("__sx_lines")
-    hashes = "transform(__sx_chunks, c -> if(c.n > 1 and char_length(c.t) >= {0}, c.h, null))".format(min_chars)
-    # a digest's first place in the document, and the same text there
-    had = "h[k] is not null and array_position(h, h[k]) <= k and __sx_chunks[int(array_position(h, h[k]) - 1)].t = c.t"
-    return out.withColumn("__sx_chunks", F.expr(f"aggregate(array({hashes}), cast(null as array<struct<n:int,t:string,h:string,had:boolean>>), (z, h) -> transform(__sx_chunks, (c, k) -> named_struct('n', c.n, 't', c.t, 'h', h[k], 'had', coalesce({had}, false))))"))
 
+def _new(units: DataFrame) -> DataFrame:
+    """doc_id, __sx_mark, k, h, t: the units that their document hasn't had before, a row each."""
+    fresh = "if(size(__sx_units) > 0, transform(filter(transform(array_except(sequence(0, size(__sx_units) - 1), __sx_had), k -> named_struct('k', k, 'c', __sx_units[k])), x -> x.c.h is not null), x -> named_struct('k', x.k, 'h', x.c.h, 't', x.c.t)), null)"
+    return units.where("doc_id is not null").select("doc_id", "__sx_mark", F.explode(F.expr(fresh)).alias("x")).select("doc_id", "__sx_mark", "x.k", "x.h", "x.t")
 
-def repeated(chunks: DataFrame) -> DataFrame:
-    """__sx_h, __sx_keep: digests of chunks that several documents have, and the least doc_id among them."""
-    rows = chunks.where("doc_id is not null").select("doc_id", F.explode(F.expr("filter(__sx_chunks, c -> c.h is not null and not c.had)")).alias("c"))
-    same = rows.groupBy(F.col("c.h").alias("__sx_h"), F.col("c.t").alias("t")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+
+def repeated(units: DataFrame) -> DataFrame:
+    """__sx_h, __sx_keep: digests of units that several documents have, and the least doc_id among them."""
+    same = _new(units).groupBy(F.col("h").alias("__sx_h"), "t").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     return same.groupBy("__sx_h").agg(F.count(F.lit(1)).alias("texts"), F.min("low").alias("__sx_keep"), F.max("high").alias("high")).where("texts = 1 and high > __sx_keep").select("__sx_h", "__sx_keep")
 
 
+def _judged(docs: DataFrame, units: str, apart: bool, tag: str) -> DataFrame:
+    """``docs`` with its units and, in ``__sx_stay``, the numbers of those that stay."""
+    small = _numbered(_mark(docs.select("doc_id", "text")), units, apart)
+    again = stored(repeated(small), tag)
+    gone = _new(small).select("doc_id", "__sx_mark", "k", F.col("h").alias("__sx_h")).join(again, "__sx_h").where("doc_id > __sx_keep")
+    # rows that share doc_id and text have the same numbers
+    gone = gone.groupBy(F.col("doc_id").alias("__sx_id"), F.col("__sx_mark").alias("__sx_of")).agg(F.collect_set("k").alias("__sx_drop"))
+    both = _numbered(_mark(docs).join(gone, (F.col("doc_id") == F.col("__sx_id")) & (F.col("__sx_mark") == F.col("__sx_of")), "left"), units, apart)
+    stay = "if(size(__sx_units) > 0, array_except(array_except(sequence(0, size(__sx_units) - 1), __sx_had), coalesce(__sx_drop, cast(array() as array<int>))), cast(array() as array<int>))"
+    return both.withColumn("__sx_stay", F.expr(stay)).drop("__sx_id", "__sx_of", "__sx_mark")
+
+
 def dedup_chunks(docs: DataFrame, divisor: int = DIVISOR, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with ``__sx_text`` (what stays), ``__sx_lines`` and ``__sx_gone`` (numbers of lines, before and removed)."""
-    small = chunked(docs.select("doc_id", "text"), divisor, min_chars)
-    again = stored(repeated(small), "chunks")
-    seen = small.where("doc_id is not null").select("doc_id", F.explode(F.expr("transform(filter(__sx_chunks, c -> c.h is not null and not c.had), c -> c.h)")).alias("__sx_h"))
-    gone = seen.join(again, "__sx_h").where("doc_id > __sx_keep").groupBy(F.col("doc_id").alias("__sx_id")).agg(F.collect_set("__sx_h").alias("__sx_drop"))
-    both = chunked(docs, divisor, min_chars).join(gone, F.col("doc_id") == F.col("__sx_id"), "left").drop("__sx_id")
-    stays = "filter(__sx_chunks, c -> not (c.had or coalesce(array_contains(__sx_drop, c.h), false)))"
+    """``docs`` with ``__sx_text`` (what stays), ``__sx_count`` and ``__sx_gone`` (numbers of lines, before and removed)."""
+    both = _judged(docs, _chunks("__sx_lines", divisor, min_chars), False, "chunks")
+    stays = "transform(__sx_stay, k -> __sx_units[k])"
     total = lambda a: f"coalesce(aggregate({a}, 0L, (s, c) -> s + c.n), 0L)"
     return (
-        both.withColumn("__sx_text", F.expr(f"array_join(transform({stays}, c -> c.t), '\\n')"))
-        .withColumn("__sx_lines", F.expr(total("__sx_chunks")))
-        .withColumn("__sx_gone", F.expr(f"{total('__sx_chunks')} - {total(stays)}"))
-        .drop("__sx_chunks", "__sx_drop")
+        both.withColumn("__sx_text", F.expr(f"if(text is null, null, array_join(transform({stays}, c -> c.t), '\\n'))"))
+        .withColumn("__sx_count", F.expr(total("__sx_units")))
+        .withColumn("__sx_gone", F.expr(f"{total('__sx_units')} - {total(stays)}"))
+        .drop("__sx_units", "__sx_had", "__sx_drop", "__sx_stay", "__sx_lines")
     )
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the digest of what stays, for every row of ``docs``."""
-    return dedup_chunks(docs.select("doc_id", "text")).select("doc_id", F.col("__sx_lines").alias("n_lines"), F.col("__sx_gone").alias("n_removed"), F.sha2("__sx_text", 256).alias("clean_sha256"))
-
-
-def _runs(min_chars: int) -> str:
-    """array<struct<s, n, t, h>>: first line, number of lines, text and digest of each run of the column ``lines``, in order."""
-    m = min_chars
-    # no run has more than m + 1 lines, as each adds a line break at least
-    least = lambda part, s: f"aggregate({part}, named_struct('n', 0, 'c', -1), (a, x) -> if(a.c >= {m}, a, named_struct('n', a.n + 1, 'c', a.c + 1 + char_length(x))), a -> if(a.c >= {m}, ({s}) * 1024L + a.n, null))"
-    after = f"transform(lines, (l, i) -> if(char_length(l) >= {m}, (i + 1) * 1024L + 1, {least(f'slice(lines, i + 1, {m} + 1)', 'i + 1')}))"
-    before = f"transform(lines, (l, i) -> if(char_length(l) >= {m}, null, {least(f'reverse(slice(lines, greatest(1, i + 1 - {m}), least(i + 1, {m} + 1)))', 'i + 2 - a.n')}))"
-    text = "transform(sort_array(array_distinct(filter(concat({0}, {1}), w -> w is not null))), w -> named_struct('s', int(w div 1024), 'n', int(w % 1024), 't', array_join(slice(lines, int(w div 1024), int(w % 1024)), '\\n')))".format(after, before)
-    return f"transform({text}, c -> named_struct('s', c.s, 'n', c.n, 't', c.t, 'h', md5(c.t)))"
-
-
-def runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs``, its lines in ``__sx_lines`` and its runs in ``__sx_chunks``, each with whether the document has had it."""
-    if not 0 < min_chars < 1023:
-        raise ValueError("min_chars must be from 1 to 1022")
-    out = docs.withColumn("__sx_lines", F.split("text", "\n", -1))
-    out = out.withColumn("__sx_chunks", F.expr(re.sub(r"\blines\b", "__sx_lines", _runs(min_chars))))
-    first = "__sx_chunks[int(array_position(h, c.h) - 1)]"
-    had = f"{first}.t = c.t and c.s >= {first}.s + c.n"
-    return out.withColumn("__sx_chunks", F.expr(f"aggregate(array(transform(__sx_chunks, c -> c.h)), cast(null as array<struct<s:int,n:int,t:string,h:string,had:boolean>>), (z, h) -> transform(__sx_chunks, c -> named_struct('s', c.s, 'n', c.n, 't', c.t, 'h', c.h, 'had', {had})))"))
+    return dedup_chunks(docs.select("doc_id", "text")).select("doc_id", F.col("__sx_count").alias("n_lines"), F.col("__sx_gone").alias("n_removed"), F.sha2("__sx_text", 256).alias("clean_sha256"))
 
 
 def dedup_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with ``__sx_text``: what stays without the lines of repeated runs."""
-    small = runs(docs.select("doc_id", "text"), min_chars)
-    again = stored(repeated(small), "runs")
-    seen = small.where("doc_id is not null").select("doc_id", F.explode(F.expr("transform(filter(__sx_chunks, c -> not c.had), c -> c.h)")).alias("__sx_h"))
-    gone = seen.join(again, "__sx_h").where("doc_id > __sx_keep").groupBy(F.col("doc_id").alias("__sx_id")).agg(F.collect_set("__sx_h").alias("__sx_drop"))
-    both = runs(docs, min_chars).join(gone, F.col("doc_id") == F.col("__sx_id"), "left").drop("__sx_id")
-    out = "flatten(transform(filter(__sx_chunks, c -> c.had or coalesce(array_contains(__sx_drop, c.h), false)), c -> sequence(c.s, c.s + c.n - 1)))"
+    if not 0 < min_chars < 1023:
+        raise ValueError("min_chars must be from 1 to 1022")
+    both = _judged(docs, _runs("__sx_lines", min_chars), True, "runs")
+    # the lines of every run that doesn't stay
+    out = "flatten(transform(array_except(sequence(0, greatest(size(__sx_units) - 1, 0)), __sx_stay), k -> if(k < size(__sx_units), sequence(__sx_units[k].s, __sx_units[k].s + __sx_units[k].n - 1), cast(array() as array<int>))))"
     stays = f"transform(array_except(sequence(1, size(__sx_lines)), {out}), i -> __sx_lines[i - 1])"
-    return both.withColumn("__sx_text", F.expr(f"if(text is null, null, array_join({stays}, '\\n'))")).drop("__sx_chunks", "__sx_drop", "__sx_lines")
+    return both.withColumn("__sx_text", F.expr(f"if(text is null, null, array_join({stays}, '\\n'))")).drop("__sx_units", "__sx_had", "__sx_drop", "__sx_stay", "__sx_lines")
 
 
 def clean(docs: DataFrame) -> DataFrame:
