@@ -10,9 +10,13 @@ their neighbours, across line ends: for each, the shortest run of sentences with
 that ends with it. So of a repeated passage of whole sentences with as many words, every sentence lies in a repeated unit. Where
 a script sets no blanks between words, two characters count as a word.
 
-Defined results: a null or empty text has no unit; rows that share a doc_id are one document, whose
-occurrences are ranked together; a row without doc_id is never removed from; removals that overlap or touch
-are made one; further columns are ignored; an empty table gives no rows.
+What goes are stretches of repeated units, next to each other but for two characters at most, of ``MIN_CHARS`` characters or more: a common line or sentence that
+stands alone among a document's own words is wording rather than a copied passage, and stays.
+
+Defined results: a null or empty text has no unit; a very long text is cut in whole, in time that grows with its length; occurrences are ranked by doc_id, then (in rows that
+share one) by a hash of the text, then by offset, so each row loses what it repeats itself and nothing of another row's; rows that agree in doc_id and text are one
+document and lose the same; a row without doc_id is never removed from and keeps nothing from others; ties are decided by these ranks; removals that overlap or touch
+are made one; further columns are ignored, and kept by ``cut``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import pieces, small_batches, split_join, stored
 
 MIN_WORDS = 8
+#: Characters of the shortest stretch of repeated units that is removed.
+MIN_CHARS = 100
 UNIT = re.compile(r"[^.!?。！？｡।]+[.!?。！？｡।]*")
 #: Letters of scripts that set no blanks between words: Thai, Lao, Myanmar, Khmer, kana and Han.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -86,55 +92,93 @@ def _size(found: list[str]) -> int:
 
 def _rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: tuple[list, list, list] = [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-                for s, e, d in units(text.as_py() or "", min_words):
-                    out[0].append(i)
-                    out[1].append(s << 32 | e)
-                    out[2].append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["doc_id", "place", "digest"])
+        for batch in batches:
+            for b in pieces(batch, "text"):
+                out: tuple[list, list, list, list] = [], [], [], []
+                for i, mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                    for s, e, d in units(text.as_py() or "", min_words):
+                        for column, x in zip(out, (i, mark, s << 32 | e, d)):
+                            column.append(x)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.binary())], names=["doc_id", "mark", "place", "digest"])
 
     return run
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text"))
+
+
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, place (start << 32 | end), digest of every unit."""
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_rows(min_words), "doc_id long, place long, digest binary")
-
-
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end of every unit that an earlier one repeats; once for each row of a repeated doc_id."""
-    every = occurrences(docs, min_words)
-    # sums keep the aggregate's buffer of fixed width, so it is combined by hashing before the shuffle
-    low = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").drop("n")
-    again = stored(every.join(stored(low, "digests"), "digest"), "copies")
-    # in the document that keeps the unit, its first occurrence stays
-    first = again.where("doc_id = first_doc").groupBy("digest").agg(F.min("place").alias("first_place")).withColumnRenamed("digest", "f_digest")
-    later = again.where("doc_id > first_doc").select("doc_id", "place")
-    # one that overlaps it is part of what stays
-    same = again.where("doc_id = first_doc").join(first, F.col("digest") == F.col("f_digest")).where(F.shiftright("place", 32) >= F.col("first_place").bitwiseAND(F.lit(2**32 - 1))).select("doc_id", "place")
-    return later.unionByName(same).select("doc_id", F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND(F.lit(2**32 - 1)).alias("end"))
-
-
-def _merged(spans):
-    """Sorted spans with those that overlap or touch made one."""
-    kind = "array<struct<start:bigint,end:bigint>>"
-    step = f"if(size(a) > 0 and element_at(a, -1).end >= x.start, concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))), concat(a, array(x)))"
-    return F.expr(f"aggregate({spans}, cast(array() as {kind}), (a, x) -> {step})")
-
-
-def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_removed, chars_removed, spans (start:end, comma-joined) for every doc_id of ``docs``."""
-    gone = repeated_spans(docs, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    out = ids.join(gone, "doc_id", "left").withColumn("s", _merged("s"))
-    return out.select("doc_id", F.coalesce(F.size("s"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0)).cast("long").alias("chars_removed"), F.coalesce(F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ","), F.lit("")).alias("spans"))
-
-
-def cut(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the repeated units in ``text``; what stays keeps its order."""
-    gone = repeated_spans(docs, min_words).groupBy(F.col("doc_id").alias("__sx_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__sx_spans"))
-    both = docs.join(gone, F.col("doc_id") == F.col("__sx_id"), "left").withColumn("__sx_spans", _merged("__sx_spans"))
-    kept = F.expr("concat(aggregate(__sx_spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', int(x.end), 'out', concat(a.out, substring(text, a.at + 1, int(x.start) - a.at))), a -> concat(a.out, substring(text, a.at + 1))))")
-    return both.select(*[F.when(F.col("__sx_spans").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else docs[c] for c in docs.columns])
+    """doc_id, mark (a hash of the text), place (start << 32 | end), digest of every unit."""
+    small_batches(docs.sparkSession)
+    return _marked(docs).where("doc_id is not null").mapInArrow(_rows(min_words), "doc_id long, mark long, place long, digest binary")
+
+
+def repeated_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """__sx_id, __sx_of, __sx_places: for each doc_id and hash of a text the sorted places of all units that an earlier one repeats."""
+    every = stored(occurrences(docs, min_words), "units")
+    # counts and sums keep the aggregate's buffer of fixed width, so it is combined by hashing before the shuffle
+    low = stored(every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1"), "digests")
+    again = stored(split_join(every, low.drop("n"), "digest", counts=low), "copies")
+    # in the document that keeps the unit, its first occurrence stays; one that overlaps it is part of what stays
+    own = again.where("doc_id = first_doc").drop("first_doc")
+    first = own.groupBy("digest").agg(F.min(F.struct("mark", "place")).alias("first"))
+    end = F.col("first.place").bitwiseAND(F.lit(2**32 - 1))
+    after = (F.col("mark") != F.col("first.mark")) | (F.shiftright("place", 32) >= end)
+    same = own.join(first, "digest").where(after).select("doc_id", "mark", "place")
+    later = again.where("doc_id > first_doc").select("doc_id", "mark", "place")
+    return later.unionByName(same).groupBy(F.col("doc_id").alias("__sx_id"), F.col("mark").alias("__sx_of")).agg(F.sort_array(F.collect_set("place")).alias("__sx_places"))
+
+
+def stretches(places: list[int], min_chars: int = MIN_CHARS) -> list[tuple[int, int]]:
+    """Sorted spans of what goes: places with those that overlap or touch made one, in stretches of ``min_chars`` or more."""
+    spans: list[list[int]] = []
+    for x in places:
+        start, end = x >> 32, x & (2**32 - 1)
+        if spans and start <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], end)
+        else:
+            spans.append([start, end])
+    out: list[tuple[int, int]] = []
+    first = 0
+    for k in range(len(spans)):
+        if k + 1 == len(spans) or spans[k + 1][0] > spans[k][1] + 2:
+            if spans[k][1] - spans[first][0] >= min_chars:
+                out += [(s, e) for s, e in spans[first : k + 1]]
+            first = k + 1
+    return out
+
+
+def _beside(docs: DataFrame, places: DataFrame) -> DataFrame:
+    return docs.join(places, (docs["doc_id"].cast("long") == F.col("__sx_id")) & (F.xxhash64(docs["text"]) == F.col("__sx_of")), "left").drop("__sx_id", "__sx_of")
+
+
+def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, n_removed, chars_removed, spans (start:end, comma-joined) for every row of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [stretches(x or [], min_chars) for x in b.column(1).to_pylist()]
+            text = [",".join(f"{s}:{e}" for s, e in x) for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([sum(e - s for s, e in x) for x in found], pa.int64()), pa.array(text, pa.string())], names=["doc_id", "n_removed", "chars_removed", "spans"])
+
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"))
+    places = repeated_places(docs, min_words)
+    both = ids.join(places, (F.col("doc_id") == F.col("__sx_id")) & (F.col("mark") == F.col("__sx_of")), "left")
+    return both.select("doc_id", F.col("__sx_places").alias("places")).mapInArrow(run, "doc_id long, n_removed long, chars_removed long, spans string")
+
+
+def cut(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` without the repeated stretches in ``text``; what stays keeps its order."""
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for t, x in zip(b.column("text").to_pylist(), b.column("__sx_places").to_pylist()):
+                spans = stretches(x or [], min_chars)
+                ends = [0, *(e for _, e in spans)]
+                texts.append("".join(t[e:s] for e, s in zip(ends, [*(s for s, _ in spans), len(t)])) if spans else t)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns], names=columns)
+
+    return _beside(docs, repeated_places(docs, min_words)).mapInArrow(run, docs.schema)
