@@ -10,11 +10,11 @@ the greatest cosine that texts of letters drawn at random from scripts (``NOISE`
 ``own`` is the cosine that all but ``LOW`` of the sampled texts of the length that are nearest to the language exceed, each measured against
 centroids of the other half of the sample. The limit lies ``BETWEEN`` of the way from ``foreign`` to ``own``, and never above ``own``; between sizes it is interpolated.
 
-Only fitting uses a sample: ``PER_LANGUAGE`` labelled rows of each language, those of the least hashes of doc_id, and
+Only fitting uses a sample (a documented bound, not a part of any result's rows): ``PER_LANGUAGE`` labelled rows of each language, those of the least hashes of doc_id, and
 never more than ``MOST`` rows in all. Prediction reads whole texts and nothing but texts.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; with no labelled row every text
-is; a row without doc_id is never learned from and counts as not held out; repeated rows get equal
+Defined results: a null or empty text, or one without a letter, is ``und`` with score 0 and rejected; with no labelled row every text
+is; a very long text is counted whole; a row without doc_id is never learned from and counts as not held out; repeated rows, and rows that share a doc_id and a text, get equal
 answers; languages of equal cosine are decided by name; further columns are ignored by ``predict`` and kept by ``clean``; an
 empty table gives no rows.
 """
@@ -28,9 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 DIM = 4096
 CENTROIDS = 4
-PER_LANGUAGE, MOST = 300, 20_000
+PER_LANGUAGE, MOST = 300, 6_000
+#: Characters of a text that are hashed at once.
+PIECE = 1 << 18
 #: Where a limit lies between the cosine of noise and the low quantile of the language's own texts.
 BETWEEN, LOW = 0.25, 0.01
 #: Characters of each sampled text that say which letters shuffled text is made of.
@@ -50,21 +54,27 @@ def _letters() -> np.ndarray:
 
 
 def counts(text: str) -> np.ndarray | None:
-    """Hashed counts of the letters' n-grams; None without a letter."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    """Hashed counts of the letters' n-grams; None without a letter. Long texts are hashed piece by piece."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     known = _letters()
     ok = known[np.minimum(c, len(known) - 1)] & (c < len(known))
     if not ok.any():
         return None
-    c = np.where(ok, c, np.uint64(32))
-    c = np.concatenate([[np.uint64(32)], c[(c != 32) | np.concatenate([[True], c[:-1] != 32])], [np.uint64(32)]])
-    with np.errstate(over="ignore"):
-        k = np.uint64(0x9E3779B97F4A7C15)
-        one = (c + np.uint64(1)) * k
-        two = (one[:-1] ^ c[1:]) * k
-        three = (two[:-1] ^ c[2:]) * k
-    grams = np.concatenate([one[c != 32], two ^ np.uint64(1 << 63), three])
-    return np.bincount(((grams ^ (grams >> np.uint64(29))) * k >> np.uint64(52)).astype(np.int64), minlength=DIM)
+    c = np.where(ok, c, np.uint32(32))
+    c = np.concatenate([[np.uint32(32)], c[(c != 32) | np.concatenate([[True], c[:-1] != 32])], [np.uint32(32)]])
+    k, out = np.uint64(0x9E3779B97F4A7C15), np.zeros(DIM, np.int64)
+    for at in range(0, len(c), PIECE):
+        piece = c[at : at + PIECE + 2].astype(np.uint64)  # the two characters more are the ends of the last 2- and 3-grams
+        last = at + PIECE >= len(c)
+        with np.errstate(over="ignore"):
+            one = (piece + np.uint64(1)) * k
+            two = (one[:-1] ^ piece[1:]) * k
+            three = (two[:-1] ^ piece[2:]) * k
+            if not last:
+                one, two, three = one[:PIECE], two[:PIECE], three[:PIECE]
+            grams = np.concatenate([one[piece[: len(one)] != 32], two ^ np.uint64(1 << 63), three])
+            out += np.bincount(((grams ^ (grams >> np.uint64(29))) * k >> np.uint64(52)).astype(np.int64), minlength=DIM)
+    return out
 
 
 def vector(n: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -145,7 +155,11 @@ def refused(cos: float, size: int, limit: np.ndarray) -> bool:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> dict:
-    """The model: idf, names, and for each centroid its vector, language and rejection limit."""
+    """The model: idf, names, and for each centroid its vector, language and rejection limit.
+
+    The driver holds ``MOST`` vectors of ``DIM`` 4-byte numbers twice, 200 MB.
+    """
+    small_batches(docs.sparkSession)
     labelled = docs.select(F.col("doc_id").alias("i"), "lang", "text").where(F.col("i").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("i")))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not sizes:
@@ -163,7 +177,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     for k, r in enumerate(found):
         n[k, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<i4")
     idf = np.log((1 + len(n)) / (1 + (n > 0).sum(axis=0))) + 1
-    x = np.stack([vector(r, idf) for r in n])
+    x = np.stack([vector(r, idf).astype(np.float32) for r in n])
     names = sorted({r["lang"] for r in found})
     of = np.array([names.index(r["lang"]) for r in found])
     c = [cluster(x[of == k], centroids) for k in range(len(names))]
