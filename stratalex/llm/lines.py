@@ -70,10 +70,15 @@ def _had(units: str, apart: bool) -> str:
     return _let(units, "us", _let(places, "ps", _let(first, "fs", "transform(filter(transform(ps, (x, i) -> named_struct('k', x.k, 's', x.s, 'f', fs[i])), x -> x.s >= ps[x.f].s + ps[x.f].n), x -> x.k)")))
 
 
+def _fixed(rows: DataFrame, name: str, value) -> DataFrame:
+    """``rows`` with a column that is worked out once: a generator's output, which the optimizer doesn't copy into filters or lambdas above it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _numbered(docs: DataFrame, units: str, apart: bool) -> DataFrame:
     """``docs`` with ``__sx_units`` and ``__sx_had``, the numbers of those that the document has had before."""
-    out = docs.withColumn("__sx_lines", F.split("text", "\n", -1)).withColumn("__sx_units", F.expr(units))
-    return out.withColumn("__sx_had", F.expr(_had("__sx_units", apart)))
+    out = _fixed(docs.withColumn("__sx_lines", F.split("text", "\n", -1)), "__sx_units", F.expr(units))
+    return _fixed(out, "__sx_had", F.expr(_had("__sx_units", apart)))
 
 
 def _mark(docs: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def _judged(docs: DataFrame, units: str, apart: bool, tag: str) -> DataFrame:
     gone = gone.groupBy(F.col("doc_id").alias("__sx_id"), F.col("__sx_mark").alias("__sx_of")).agg(F.collect_set("k").alias("__sx_drop"))
     both = _numbered(_mark(docs).join(gone, (F.col("doc_id") == F.col("__sx_id")) & (F.col("__sx_mark") == F.col("__sx_of")), "left"), units, apart)
     stay = "if(size(__sx_units) > 0, array_except(array_except(sequence(0, size(__sx_units) - 1), __sx_had), coalesce(__sx_drop, cast(array() as array<int>))), cast(array() as array<int>))"
-    return both.withColumn("__sx_stay", F.expr(stay)).drop("__sx_id", "__sx_of", "__sx_mark")
+    return _fixed(both, "__sx_stay", F.expr(stay)).drop("__sx_id", "__sx_of", "__sx_mark")
 
 
 def dedup_chunks(docs: DataFrame, divisor: int = DIVISOR, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -131,7 +136,7 @@ def dedup_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # the lines of every run that doesn't stay
     out = "flatten(transform(array_except(sequence(0, greatest(size(__sx_units) - 1, 0)), __sx_stay), k -> if(k < size(__sx_units), sequence(__sx_units[k].s, __sx_units[k].s + __sx_units[k].n - 1), cast(array() as array<int>))))"
     stays = f"transform(array_except(sequence(1, size(__sx_lines)), {out}), i -> __sx_lines[i - 1])"
-    return both.withColumn("__sx_text", F.expr(f"if(text is null, null, array_join({stays}, '\\n'))")).drop("__sx_units", "__sx_had", "__sx_drop", "__sx_stay", "__sx_lines")
+    return _fixed(both, "__sx_text", F.expr(f"if(text is null, null, array_join({stays}, '\\n'))")).drop("__sx_units", "__sx_had", "__sx_drop", "__sx_stay", "__sx_lines")
 
 
 def clean(docs: DataFrame) -> DataFrame:
