@@ -7,6 +7,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import char_ngrams
 
 #: Fixed values of the segment score.
 LENGTH_BONUS, START_BONUS, END_BONUS, ATTESTED, PER_SEGMENT = 0.75, 0.6, 0.6, 10.0, 0.35
@@ -66,6 +69,95 @@ def splits(word: str, least: int = 2) -> list[tuple[str, ...]]:
     return [(word[:k], *rest) for k in range(least, len(word) + 1) for rest in splits(word[k:], least)]
 
 
+def attested_covers(words: DataFrame, pieces: DataFrame, least: int = 1, most: int = 100) -> DataFrame:
+    """word, rank, pieces: the full covers of each of ``words`` (word) by ``pieces`` (piece), the fewest pieces first, ``most`` at most (the feature's limit).
+
+    Only pieces that stand in a word are gathered with it, in one row, so a row is bounded by its word's length.
+    """
+    return _with_pieces(words, pieces, least).mapInPandas(lambda frames: (_cover_rows(f, most) for f in frames), "word string, rank int, pieces array<string>")
+
+
+def coverable(words: DataFrame, pieces: DataFrame, least: int = 1) -> DataFrame:
+    """word, covered: whether ``pieces`` cover all of it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"word": f["word"], "covered": [breakable(w, set(p)) for w, p in zip(f["word"], f["pieces"])]})
+
+    return _with_pieces(words, pieces, least).mapInPandas(run, "word string, covered boolean")
+
+
+def isolatable_roots(hosts: DataFrame, pieces: DataFrame, least: int = 1) -> DataFrame:
+    """host, root, isolatable: whether an occurrence of ``root`` leaves a prefix and a suffix that ``pieces`` cover; hosts: host, root."""
+    own = _with_pieces(hosts.select(F.col("host").alias("word")).distinct(), pieces, least)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"host": f["host"], "root": f["root"], "isolatable": [isolatable(h, r, set(p)) for h, r, p in zip(f["host"], f["root"], f["pieces"])]})
+
+    return hosts.join(own, hosts["host"] == own["word"]).select("host", "root", "pieces").mapInPandas(run, "host string, root string, isolatable boolean")
+
+
+def all_splits(words: DataFrame, least: int = 2, longest: int = 20) -> DataFrame:
+    """word, pieces: every way to cut a word into pieces of ``least`` characters or more. Their number doubles with each few letters, so a longer word than ``longest`` is refused."""
+    if words.where(F.char_length("word") > longest).limit(1).count():
+        raise ValueError(f"a word has more than {longest} characters")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(w, list(p)) for w in f["word"] for p in splits(w, least) if p]
+            yield pd.DataFrame(rows, columns=["word", "pieces"])
+
+    return words.select("word").mapInPandas(run, "word string, pieces array<string>")
+
+
+def _with_pieces(words: DataFrame, pieces: DataFrame, least: int) -> DataFrame:
+    """word, pieces: the pieces of ``least`` characters or more that stand in each word."""
+    known = pieces.where(F.char_length("piece") >= least).select("piece").distinct()
+    longest = known.agg(F.max(F.char_length("piece"))).first()[0] or least
+    grams = words.select("word", F.explode(F.array_distinct(F.transform(char_ngrams(F.col("word"), least, longest), lambda x: x["gram"]))).alias("piece"))
+    found = grams.join(known, "piece").groupBy("word").agg(F.collect_list("piece").alias("pieces"))
+    return words.select("word").distinct().join(found, "word", "left").select("word", F.coalesce("pieces", F.array().cast("array<string>")).alias("pieces"))
+
+
+def _cover_rows(frame: pd.DataFrame, most: int) -> pd.DataFrame:
+    rows = [(w, k, list(c)) for w, p in zip(frame["word"], frame["pieces"]) for k, c in enumerate(covers(w, set(p), most), 1)]
+    return pd.DataFrame(rows, columns=["word", "rank", "pieces"])
+
+
+def definition_beam(candidates: DataFrame, width: int = 6, target: float = 0.45, radius: float = 0.20) -> DataFrame:
+    """word, choices (one candidate's number for each morph), score: the best definitions put together for each word.
+
+    candidates: word, place (of the morph), choice, vector (unit length, null without a definition), quality, anchor (of the morph), contradiction (of
+    the choice). A word's candidates are gathered in one row: as many as its morphs have definitions.
+    """
+    own = candidates.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("place", (-F.col("quality")).alias("order"), "choice", "vector", "quality", "anchor", "contradiction"))).alias("c"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            best = [_best_definitions(c, width, target, radius) for c in f["c"]]
+            yield pd.DataFrame({"word": f["word"], "choices": [b[0] for b in best], "score": [round(b[1], 6) for b in best]})
+
+    return own.mapInPandas(run, "word string, choices array<long>, score double")
+
+
+def _best_definitions(rows, width: int, target: float, radius: float) -> tuple[list[int], float]:
+    places = sorted({r["place"] for r in rows})
+    beams: list[tuple[float, list]] = [(0.0, [])]
+    for p in places:
+        grown = [(_combined([*held, r], target, radius), [*held, r]) for _, held in beams for r in rows if r["place"] == p]
+        beams = sorted(grown, key=lambda x: -x[0])[:width]
+    score, held = beams[0]
+    return [int(r["choice"]) for r in held], score
+
+
+def _combined(held: list, target: float, radius: float) -> float:
+    vectors = [r["vector"] for r in held if r["vector"] is not None]
+    near = [max(0.0, min(1.0, 1 - abs(sum(x * y for x, y in zip(a, b)) - target) / radius)) for k, a in enumerate(vectors) for b in vectors[k + 1 :]]
+    mean = lambda x: sum(x) / len(x) if x else 0.0
+    return 0.45 * mean(near) + 0.30 * mean([r["anchor"] for r in held]) + 0.15 * mean([r["quality"] for r in held]) - 0.10 * mean([r["contradiction"] for r in held])
+
+
 def segment(candidates: DataFrame, total: int, width: int = 15) -> DataFrame:
     """word, rank, segments, score from candidate entries (word, gram, tf, df, attested), the best 5 covers of each word.
 
