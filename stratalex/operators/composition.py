@@ -180,6 +180,11 @@ def converged(texts: Column, vectors: Column, least: float = 0.815, length: int
     return (F.size(pieces) >= 2) & (long >= length) & (_mean(_pairs(pieces, lambda a, b: cosine(a["v"], b["v"]))) >= least)
 
 
+def cluster_cohesion(vectors: Column) -> Column:
+    """Mean cosine of a cluster's pairs, those of cosine 0 left out, to 3 places; 0 without any. Clusters are a word's groups of definitions."""
+    return F.round(_mean(F.filter(_pairs(vectors, cosine), lambda c: c != 0)), 3)
+
+
 def within_band(rows: DataFrame, item: str, label: str = "label", score: str = "sim", least: float = 0.3, band: float = 0.05) -> DataFrame:
     """The labels of each item whose score reaches ``least`` and lies within ``band`` of the item's best."""
     top = F.max(score).over(Window.partitionBy(item))

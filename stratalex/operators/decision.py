@@ -39,9 +39,9 @@ def group_status(packets: Column, confidence: Column, exceptions: Column, risks:
 
 
 def contradiction(text: Column, pairs: list[tuple[str, str]], each: float = 0.20, most: float = 0.50, compat_zero: bool = False) -> Column:
-    """Penalty for pairs of words that both stand in ``text``; ``compat_zero`` gives 0 for all."""
+    """Penalty for pairs of words that both stand in ``text``, no letter or digit of any script beside them; ``compat_zero`` gives 0 for all."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    has = lambda w: low.rlike(rf"\b\Q{w.lower()}\E\b")
+    has = lambda w: low.rlike(rf"(?:^|[^\p{{L}}\p{{N}}_])\Q{w.lower()}\E(?:[^\p{{L}}\p{{N}}_]|$)")
     n = F.lit(0)
     for a, b in [] if compat_zero else pairs:
         n = n + (has(a) & has(b)).cast("int")

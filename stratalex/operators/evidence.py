@@ -80,3 +80,11 @@ def align(parts: DataFrame, groups: DataFrame, item: str, alternates: int = 2) -
     rows = both.select(item, "group_id", "label", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("score"))
     w = Window.partitionBy(item).orderBy(F.desc("score"), F.coalesce("label", F.lit("")), "group_id")
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= 1 + alternates).drop("label")
+
+
+def role_profile(rows: DataFrame, key: str, role: str) -> DataFrame:
+    """key, counts (role, n of every role, by name), profile: the role that a key has most often, or mixed."""
+    each = rows.groupBy(key, F.col(role).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    out = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("role", "n"))).alias("counts"), F.max("n").alias("most"))
+    top = F.filter("counts", lambda x: x["n"] == F.col("most"))
+    return out.select(key, "counts", F.when(F.size(top) == 1, F.get(top, F.lit(0))["role"]).otherwise("mixed").alias("profile"))

@@ -158,8 +158,10 @@ def _combined(held: list, target: float, radius: float) -> float:
     return 0.45 * mean(near) + 0.30 * mean([r["anchor"] for r in held]) + 0.15 * mean([r["quality"] for r in held]) - 0.10 * mean([r["contradiction"] for r in held])
 
 
-def segment(candidates: DataFrame, total: int, width: int = 15) -> DataFrame:
-    """word, rank, segments, score from candidate entries (word, gram, tf, df, attested), the best 5 covers of each word.
+def segment(candidates: DataFrame, total: int | None = None, width: int = 15, best: int = 5) -> DataFrame:
+    """word, rank, segments, score from candidate entries (word, gram, tf, df, attested), the best covers of each word.
+
+    ``total`` are the words of the index, or a column of that name has them.
 
     Only the entries that occur in a word are gathered with it, so a group is bounded by its length.
     """
@@ -167,9 +169,11 @@ def segment(candidates: DataFrame, total: int, width: int = 15) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         word = pdf["word"].iloc[0]
         known = {g: (int(t), int(d), bool(a)) for g, t, d, a in zip(pdf["gram"], pdf["tf"], pdf["df"], pdf["attested"])}
-        best = beam(word, known, total, width=width)[:5]
-        return pd.DataFrame({"word": [word] * len(best), "rank": range(1, len(best) + 1), "segments": [list(p) for _, p in best], "score": [round(s, 6) for s, _ in best]})
+        found = beam(word, known, int(pdf["total"].iloc[0]), width=width)[:best]
+        return pd.DataFrame({"word": [word] * len(found), "rank": range(1, len(found) + 1), "segments": [list(p) for _, p in found], "score": [round(s, 6) for s, _ in found]})
 
+    if total is not None:
+        candidates = candidates.withColumn("total", F.lit(total))
     return candidates.groupBy("word").applyInPandas(run, "word string, rank int, segments array<string>, score double")
 
 

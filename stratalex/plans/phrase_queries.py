@@ -75,7 +75,10 @@ def _decision(spark, d):
 _PAIRS = [("the", "and"), ("de", "la"), ("der", "die"), ("of", "in")]
 
 
-@query("n33_contradictions", "SELECT doc_id, least(0.5, 0.2 * (" + " + ".join(rf"(regexp_matches(lower(coalesce(text, '')), '\b{a}\b') AND regexp_matches(lower(coalesce(text, '')), '\b{b}\b'))::INT" for a, b in _PAIRS) + "))::DOUBLE AS penalty FROM documents")
+_EDGE = "(?:^|[^\\p{{L}}\\p{{N}}_]){0}(?:[^\\p{{L}}\\p{{N}}_]|$)"
+
+
+@query("n33_contradictions", "SELECT doc_id, least(0.5, 0.2 * (" + " + ".join(f"(regexp_matches(lower(coalesce(text, '')), '{_EDGE.format(a)}') AND regexp_matches(lower(coalesce(text, '')), '{_EDGE.format(b)}'))::INT" for a, b in _PAIRS) + "))::DOUBLE AS penalty FROM documents")
 def _contradictions(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(D.contradiction(F.col("text"), _PAIRS), 6).alias("penalty"))
 

@@ -89,9 +89,10 @@ def _valid(spark, d):
     return rows.select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("f16_inverse_lookup", "SELECT DISTINCT l_suppkey AS morph, l_orderkey AS token FROM lineitem WHERE l_suppkey IN (1, 2, 3)")
+@query("f16_inverse_lookup", "SELECT DISTINCT s_suppkey AS morph, l_orderkey AS token FROM supplier JOIN lineitem ON l_suppkey = s_suppkey")
 def _inverse(spark, d):
-    return table(spark, d, "lineitem").where("l_suppkey in (1, 2, 3)").select(F.col("l_suppkey").alias("morph"), F.col("l_orderkey").alias("token")).distinct()
+    tokens = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("morph"), F.col("l_orderkey").alias("token"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("morph")).join(tokens, "morph").distinct()
 
 
 @query("a10_length_histogram", "SELECT count(*) FILTER (n = 0) AS zero, count(*) FILTER (n = 1) AS single, count(*) FILTER (n > 1) AS multi FROM (SELECT len(list_filter(string_split(p_name, ' '), lambda x: x > 'm')) AS n FROM part)")

@@ -43,6 +43,16 @@ def _centroids(spark, d):
     return V.centroid_similarity(_vec(spark, d), "vec_id", "label").select("vec_id", "label", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("n20_cluster_cohesion", """
+WITH v AS (SELECT p_partkey AS id, p_brand AS k, [p_size % 2, (p_size + 1) % 2, (p_partkey % 3 = 0)::INT]::DOUBLE[] AS v FROM part), p AS (SELECT a.k, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS c FROM v a JOIN v b ON a.k = b.k AND a.id < b.id)
+SELECT k, coalesce(round(avg(c) FILTER (c <> 0), 3), 0)::DOUBLE AS cohesion FROM v LEFT JOIN p USING (k) GROUP BY k""")
+def _nonzero(spark, d):
+    from ..operators.composition import cluster_cohesion
+
+    v = table(spark, d, "part").select(F.col("p_brand").alias("k"), F.array((F.col("p_size") % 2).cast("double"), ((F.col("p_size") + 1) % 2).cast("double"), (F.col("p_partkey") % 3 == 0).cast("double")).alias("v"))
+    return v.groupBy("k").agg(F.collect_list("v").alias("v")).select("k", cluster_cohesion(F.col("v")).alias("cohesion"))
+
+
 @query("n20_cohesion", """
 WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
 SELECT a.label, round(avg(list_cosine_similarity(a.v, b.v)), 6) AS cohesion FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""")
@@ -104,15 +114,13 @@ def _newest(spark, d):
 
 
 @query("a8_role_profile", """
-WITH t AS (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 3), k AS (SELECT list(event_type ORDER BY event_type) AS k FROM t),
-c AS (SELECT user_id, count(*) FILTER (event_type = k[1]) AS a, count(*) FILTER (event_type = k[2]) AS b, count(*) FILTER (event_type = k[3]) AS c FROM events, k GROUP BY user_id)
-SELECT user_id, a, b, c, CASE WHEN a > b AND a > c THEN 'first' WHEN b > a AND b > c THEN 'second' WHEN c > a AND c > b THEN 'third' ELSE 'mixed' END AS profile FROM c""")
+WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), m AS (SELECT *, max(n) OVER (PARTITION BY user_id) AS most FROM c)
+SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS counts, CASE WHEN count_if(n = most) = 1 THEN min(event_type) FILTER (n = most) ELSE 'mixed' END AS profile FROM m GROUP BY user_id""")
 def _profile(spark, d):
-    e = table(spark, d, "events")
-    kinds = e.select("event_type").distinct().orderBy("event_type").limit(3).agg(F.array_sort(F.collect_list("event_type")).alias("k"))
-    c = e.select("user_id", "event_type").join(F.broadcast(kinds)).groupBy("user_id").agg(*[F.count_if(F.col("event_type") == F.get("k", F.lit(i))).alias(n) for i, n in enumerate("abc")])
-    most = lambda x, y, z: (F.col(x) > F.col(y)) & (F.col(x) > F.col(z))
-    return c.withColumn("profile", F.when(most("a", "b", "c"), "first").when(most("b", "a", "c"), "second").when(most("c", "a", "b"), "third").otherwise("mixed"))
+    from ..operators.evidence import role_profile
+
+    out = role_profile(table(spark, d, "events"), "user_id", "event_type")
+    return out.select("user_id", F.array_join(F.transform("counts", lambda x: F.concat(x["role"], F.lit(":"), x["n"].cast("string"))), ",").alias("counts"), "profile")
 
 
 @query("w4_min_max", """

@@ -131,16 +131,16 @@ def _windows(spark, d):
 
 
 @query("x1_string_functions", """
-WITH benchmark AS (SELECT item_id, replace(text, 'ß', '') AS text FROM benchmark)
-SELECT item_id, lower(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS letters, regexp_replace(upper(text), '[^A-IK-VX-Z]', '', 'g') AS restricted,
-  len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 2) = 'th')) AS n_th, upper(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS spaced,
-  len(list_filter(list_transform(regexp_split_to_array(text, '[;:,]'), lambda x: trim(x)), lambda x: regexp_matches(x, '[A-Za-z]'))) AS n_clauses, levenshtein(substr(regexp_replace(text, '[^a-z ]', '', 'g'), 1, 20), substr(regexp_replace(text, '[^a-z ]', '', 'g'), 21, 20)) AS distance
-FROM benchmark""")
+WITH b AS (SELECT item_id, text, replace(text, 'ß', 'SS') AS upper_text FROM benchmark)
+SELECT item_id, lower(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS letters, regexp_replace(upper(upper_text), '[^A-IK-VX-Z]', '', 'g') AS restricted,
+  len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 2) = 'th')) AS n_th, upper(trim(regexp_replace(upper_text, '\\s+', ' ', 'g'))) AS spaced,
+  len(list_filter(list_transform(regexp_split_to_array(text, '[;:,]'), lambda x: trim(x)), lambda x: regexp_matches(x, '[A-Za-z]'))) AS n_clauses, levenshtein(regexp_replace(text, '[^a-z ]', '', 'g'), regexp_replace(text, '[^b-z]', '', 'g')) AS distance
+FROM b""")
 def _strings(spark, d):
-    t = F.replace("text", F.lit("ß"), F.lit(""))  # engines differ in its upper case
+    t = F.col("text")
     return table(spark, d, "benchmark").select(
         "item_id", X.letters_only(t).alias("letters"), X.alphabet_only(t).alias("restricted"), F.size(X.occurrences(t, F.lit("th"))).cast("long").alias("n_th"), X.canonical_space(t).alias("spaced"),
-        F.size(X.clauses(t)).cast("long").alias("n_clauses"), F.levenshtein(F.substring(F.regexp_replace(t, "[^a-z ]", ""), 1, 20), F.substring(F.regexp_replace(t, "[^a-z ]", ""), 21, 20)).cast("long").alias("distance"),
+        F.size(X.clauses(t)).cast("long").alias("n_clauses"), F.levenshtein(F.regexp_replace(t, "[^a-z ]", ""), F.regexp_replace(t, "[^b-z]", "")).cast("long").alias("distance"),
     )
 
 
@@ -261,13 +261,6 @@ def _linked(spark, d):
 
 
 @query("y12_reassembly", """
-SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 40), ' | ' ORDER BY turn) AS dialogue, count(*) AS n FROM conversations GROUP BY conv_id""")
-def _reassembly(spark, d):
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.substring("text", 1, 40)).alias("t")))).alias("p"), F.count(F.lit(1)).alias("n"))
-    return rows.select("conv_id", F.array_join(F.transform("p", lambda x: x["t"]), " | ").alias("dialogue"), "n")
-
-
-@query("y12_whole_reassembly", """
 SELECT conv_id, string_agg(role || ': ' || text, ' | ' ORDER BY turn) AS dialogue, count(*) AS n FROM conversations GROUP BY conv_id""")
 def _whole_reassembly(spark, d):
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t")))).alias("p"), F.count(F.lit(1)).alias("n"))
@@ -284,7 +277,7 @@ def _budget(spark, d):
     return running_prefix(rows, "conv_id", ["turn"], "n", 75)
 
 
-@query("f10_page_titles", """
+@query("page_titles", """
 SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^https?://([^/]+)', 1) AS host, len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs, contains(lower(html), '<script') AS scripted FROM pages""")
 def _pages(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.size(F.regexp_extract_all("html", F.lit("<p[ >]"), F.lit(0))).cast("long").alias("n_paragraphs"), F.lower("html").contains("<script").alias("scripted"))
@@ -299,9 +292,9 @@ def _histogram(spark, d):
 
 
 @query("n46_prompt_memo", """
-SELECT sha256(upper(trim(regexp_replace(replace(text, 'ß', 'ss'), '\\s+', ' ', 'g')))) AS key, count(*) AS n, min(conv_id) AS first_conv FROM conversations GROUP BY 1""")
+SELECT sha256(upper(trim(regexp_replace(replace(text, 'ß', 'SS'), '\\s+', ' ', 'g')))) AS key, count(*) AS n, min(conv_id) AS first_conv FROM conversations GROUP BY 1""")
 def _memo(spark, d):
-    return table(spark, d, "conversations").select(F.sha2(X.canonical_space(F.replace("text", F.lit("ß"), F.lit("ss"))), 256).alias("key"), "conv_id").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("first_conv"))
+    return table(spark, d, "conversations").select(F.sha2(X.canonical_space(F.col("text")), 256).alias("key"), "conv_id").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("first_conv"))
 
 
 @query("t4_best_of_source", """
@@ -323,8 +316,8 @@ def _segmentation(spark, d):
     from ..operators.segment import segment
 
     words = table(spark, d, "benchmark").select(F.explode(X.words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    grams = N.index(words, 1, 7)
-    own = words.select("word", F.explode(F.array_distinct(F.transform(X.char_ngrams(F.col("word"), 1, 7), lambda g: g["gram"]))).alias("gram"))
+    own = words.select("word", F.explode(F.array_distinct(F.transform(X.char_ngrams(F.col("word"), 2, 7), lambda g: g["gram"]))).alias("gram"))
     known = words.select(F.col("word").alias("gram"), F.lit(True).alias("attested"))
-    rows = own.where("gram <> word").join(grams.where("df > 1"), "gram").join(known, "gram", "left").fillna(False, ["attested"])
-    return segment(rows, words.count()).withColumn("segments", F.array_join("segments", "+"))
+    total = words.agg(F.count(F.lit(1)).alias("total"))  # one row
+    rows = own.join(N.index(words, 2, 7), "gram").join(known, "gram", "left").fillna(False, ["attested"]).join(F.broadcast(total))
+    return segment(rows).withColumn("segments", F.array_join("segments", "+"))

@@ -40,7 +40,7 @@ def test_whole_texts_are_read(spark):
     con = duckdb.connect()
     q = registry.queries()
     size = con.execute(f"select sum(length(text)) from '{DATA}/conversations.parquet'").fetchone()[0]
-    rows = q["y12_whole_reassembly"](spark, DATA).collect()
+    rows = q["y12_reassembly"](spark, DATA).collect()
     assert sum(len(r["dialogue"]) for r in rows) > size and sum(r["n"] for r in rows) == con.execute(f"select count(*) from '{DATA}/conversations.parquet'").fetchone()[0]
     assert max(r["distance"] for r in q["x1_whole_distance"](spark, DATA).collect()) > 20
 
