@@ -106,3 +106,39 @@ def delta_senses(words: DataFrame, senses: DataFrame, k: int = 5, gain: float =
     rows = words.select("item", delta.alias("d"), (F.col("before") - F.col("after") >= gain).alias("accepted")).where("d is not null")
     pairs = rows.join(senses).select("item", "sense", F.round(cosine(F.col("d"), F.col("sense_vec")), 9).alias("sim"), "accepted")
     return pairs.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("sim"), "sense"))).where(F.col("place") <= k)
+
+
+def search_tiers(rows: DataFrame, query: str, form: str, meaning: str, likeness: str, least: float) -> DataFrame:
+    """``rows`` with score, priority and tier of a candidate word (column ``form``) beside the word searched for (column ``query``), from ``least`` on.
+
+    score: 0.40 of the likeness of form and 0.60 of that of meaning in per cent, and 0.60 where one word begins or ends with the other.
+    """
+    edge = F.col(form).startswith(F.col(query)) | F.col(form).endswith(F.col(query))
+    priority = F.when(edge, 2).when(F.col(form).contains(F.col(query)), 1).otherwise(0)
+    score = 0.40 * F.col(likeness) + 0.60 * F.least(F.lit(100.0), 100 * F.col(meaning)) + F.when(edge, 0.60).otherwise(0.0)
+    out = rows.withColumn("score", score).withColumn("priority", priority)
+    tier = F.when((F.col("priority") == 2) & (F.col("score") > 0.85), "Very strong connection").when(F.col("priority") == 2, "Possible connection").when(F.col("priority") == 1, "Somewhat possible connection").otherwise("Weak to no connection")
+    return out.withColumn("tier", tier).where(F.col("score") >= least)
+
+
+def exact_candidates(rows: DataFrame, whole_words: bool = True, short: int = 4) -> DataFrame:
+    """word, analysis, definition, score, suppressed: what is known of a word as a whole, beside its decompositions; rows: word, kind, definition, quality.
+
+    A dictionary's entry scores 200, the best cluster or residual 150 and its quality. Without ``whole_words`` the dictionary is suppressed, and so is the other for
+    words of more than ``short`` letters.
+    """
+    said = rows.where(F.trim(F.coalesce("definition", F.lit(""))) != "")
+    first = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("quality"), "definition"))
+    entry = said.where("kind = 'dictionary'").withColumn("n", first).where("n = 1").select("word", F.lit("dictionary_exact").alias("analysis"), "definition", F.lit(200.0).alias("score"), F.lit(not whole_words).alias("suppressed"))
+    anchor = said.where("kind in ('cluster', 'residual')").withColumn("n", first).where("n = 1")
+    anchor = anchor.select("word", F.lit("whole_word_anchor").alias("analysis"), "definition", (150 + F.col("quality")).alias("score"), (F.lit(not whole_words) & (F.char_length("word") > short)).alias("suppressed"))
+    return entry.unionByName(anchor)
+
+
+def sentence_matches(sentences: DataFrame, clusters: DataFrame, most: int = 7) -> DataFrame:
+    """sentence, word_index, start, end, ngram and the clusters of every n-gram of up to ``most`` letters of a sentence's words; sentences: sentence, words; clusters: ngram, ..."""
+    from ..functions.text import char_ngrams
+
+    words = sentences.select("sentence", F.posexplode("words").alias("word_index", "word"))
+    grams = words.select("sentence", "word_index", F.explode(char_ngrams(F.lower("word"), 1, most)).alias("x"))
+    return grams.select("sentence", "word_index", F.col("x.start").alias("start"), (F.col("x.start") + F.char_length("x.gram")).alias("end"), F.col("x.gram").alias("ngram")).join(clusters, "ngram")

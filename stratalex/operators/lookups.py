@@ -167,6 +167,17 @@ def word_evidence(words: DataFrame, sources: dict[str, DataFrame], neighbours: D
     return known.unionByName(rest.select("word", F.lit("neighbour").alias("kind"), "text"))
 
 
+def index_lookup(ngrams: DataFrame, membership: DataFrame) -> DataFrame:
+    """ngram, canonical: the distinct words that an index has for each of ``ngrams``, case aside."""
+    wanted = ngrams.select(F.lower("ngram").alias("ngram")).distinct()
+    return membership.select(F.lower("ngram").alias("ngram"), "canonical").join(wanted, "ngram").distinct()
+
+
+def seed_history(seeds: DataFrame, runs: DataFrame) -> DataFrame:
+    """Seeds with their runs' stage and time and their place in time for each n-gram; seeds: run_id, ngram, ...; runs: run_id, stage, created_at."""
+    return seeds.join(runs, "run_id").withColumn("place", F.row_number().over(Window.partitionBy("ngram").orderBy("created_at", "run_id")))
+
+
 def nearest_known(words: DataFrame, vectors: DataFrame, known: DataFrame, k: int = 10, least: float = 0.4) -> DataFrame:
     """item, near, sim: for each of ``words`` (item, vec) its ``k`` nearest vectors (item, vec) among the ``known`` items, of cosine ``least`` or more.
 

@@ -42,3 +42,30 @@ def replace_partition(target: DataFrame, source: DataFrame, key: list[str]) -> D
 def common_columns(source: DataFrame, target: DataFrame) -> DataFrame:
     """Copy between tables of different shape: the columns that both have."""
     return source.select(*[c for c in target.columns if c in source.columns])
+
+
+def replace_table(rows: DataFrame, path: str) -> None:
+    """Put ``rows`` in the place of a table of files: written beside it first, then swapped, so readers meet the old table or the new one, and a failed write leaves the old."""
+    import uuid
+
+    spark = rows.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    rows.write.parquet(new)
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = fs.exists(at)
+    if there and not fs.rename(at, hadoop.Path(old)):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(hadoop.Path(new), at):
+        if there:
+            fs.rename(hadoop.Path(old), at)
+        raise OSError(f"can't put the new table at {path}")
+    if there:
+        fs.delete(hadoop.Path(old), True)
+
+
+def memoised(prompts: DataFrame, memo: DataFrame, key: str = "prompt_hash") -> DataFrame:
+    """Prompts beside the answer that the memo has for their key, and whether it has one; a key answered twice counts by its first answer."""
+    known = newest(memo, [key], [F.col("created_at"), F.col("response")]).select(key, "response")
+    return prompts.join(known, key, "left").withColumn("known", F.col("response").isNotNull())

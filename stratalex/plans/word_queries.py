@@ -323,3 +323,43 @@ def _delta(spark, d):
     rows = e.where("vec_id % 5 = 0").withColumn("k", F.col("vec_id") + 1).join(e.select(F.col("vec_id").alias("k"), F.col("v").alias("anchor_vec")), "k")
     rows = rows.select(F.col("vec_id").alias("item"), F.col("v").alias("vec"), "anchor_vec", F.lit(0.5).alias("before"), F.when(F.col("vec_id") % 3 == 1, 0.3).otherwise(0.45).alias("after"))
     return E.delta_senses(rows, e.where("vec_id % 5 = 2").select(F.col("vec_id").alias("sense"), F.col("v").alias("sense_vec"))).withColumn("sim", F.round("sim", 6))
+
+
+@query("n21_search_tiers", f"""
+WITH {_W}, q AS (SELECT word AS query FROM w WHERE length(word) = 3 AND ascii(word) % 5 = 0), x AS (SELECT query, word, (ascii(word) % 10) / 10 AS ft, (length(word) % 7) / 700 AS meaning, starts_with(word, query) OR suffix(word, query) AS edge FROM q, w WHERE contains(word, query)),
+s AS (SELECT *, 0.4 * ft + 0.6 * least(100, 100 * meaning) + CASE WHEN edge THEN 0.6 ELSE 0 END AS score FROM x)
+SELECT query, word, round(score, 6)::DOUBLE AS score, CASE WHEN edge THEN 2 ELSE 1 END AS priority, CASE WHEN edge AND score > 0.85 THEN 'Very strong connection' WHEN edge THEN 'Possible connection' ELSE 'Somewhat possible connection' END AS tier FROM s WHERE score >= 0.3""")
+def _tiers(spark, d):
+    w = _words(spark, d)
+    grams = w.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - 2)), lambda i: F.substring("word", i, F.lit(3))))).alias("query"))
+    pairs = grams.join(w.where((F.length("word") == 3) & (F.ascii("word") % 5 == 0)).select(F.col("word").alias("query")), "query")
+    rows = pairs.withColumn("ft", (F.ascii("word") % 10) / 10).withColumn("meaning", (F.length("word") % 7) / 700)
+    return E.search_tiers(rows, "query", "word", "meaning", "ft", 0.3).select("query", "word", F.round("score", 6).alias("score"), "priority", "tier")
+
+
+@query("n58_exact_candidates", """
+WITH r AS (SELECT p_name AS word, ['cluster', 'residual', 'dictionary', 'hypothesis'][p_size % 4 + 1] AS kind, CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE p_type || p_partkey END AS definition, p_size / 50 AS quality FROM part), s AS (SELECT * FROM r WHERE trim(definition) <> ''),
+e AS (SELECT word, 'dictionary_exact' AS analysis, definition, 200.0::DOUBLE AS score, true AS suppressed FROM s WHERE kind = 'dictionary' QUALIFY row_number() OVER (PARTITION BY word ORDER BY quality DESC, definition) = 1),
+a AS (SELECT word, 'whole_word_anchor', definition, 150 + quality, length(word) > 8 FROM s WHERE kind IN ('cluster', 'residual') QUALIFY row_number() OVER (PARTITION BY word ORDER BY quality DESC, definition) = 1) SELECT * FROM e UNION ALL SELECT * FROM a""")
+def _exact(spark, d):
+    kind = F.get(F.array(*map(F.lit, ("cluster", "residual", "dictionary", "hypothesis"))), (F.col("p_size") % 4).cast("int"))
+    rows = table(spark, d, "part").select(F.col("p_name").alias("word"), kind.alias("kind"), F.when(F.col("p_partkey") % 5 == 0, " ").otherwise(F.concat("p_type", F.col("p_partkey").cast("string"))).alias("definition"), (F.col("p_size") / 50).alias("quality"))
+    return E.exact_candidates(rows, False, 8)
+
+
+@query("n48_sentence_matches", f"""
+WITH t AS (SELECT item_id AS sentence, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark), x AS (SELECT sentence, j - 1 AS word_index, lower(w[j]) AS word FROM (SELECT sentence, w, unnest(range(1, len(w) + 1)) AS j FROM t)), {_W}, c AS (SELECT word AS ngram, length(word) % 5 AS cluster_id FROM w WHERE length(word) <= 3),
+g AS (SELECT sentence, word_index, i AS start, i + n AS "end", substr(word, i + 1, n) AS ngram FROM (SELECT *, unnest(range(0, greatest(0, length(word) - n + 1))) AS i FROM x, range(1, 8) r(n))) SELECT sentence, word_index::INT AS word_index, start::INT AS start, "end"::INT AS "end", ngram, cluster_id::INT AS cluster_id FROM g JOIN c USING (ngram)""")
+def _matches(spark, d):
+    sentences = table(spark, d, "benchmark").select(F.col("item_id").alias("sentence"), words(F.col("text")).alias("words"))
+    clusters = _words(spark, d).where("length(word) <= 3").select(F.col("word").alias("ngram"), (F.length("word") % 5).alias("cluster_id"))
+    return E.sentence_matches(sentences, clusters)
+
+
+@query("n18_tuned_clusters")
+def _tuned(spark, d):
+    from ..operators.tuning import tuned_clusters
+
+    rows = table(spark, d, "embeddings").withColumn("key", F.concat_ws("-", "label", F.expr("vec_id div 1000")))  # some hundred vectors each
+    out = tuned_clusters(rows, "key", "vec_id", "embedding")
+    return out.select("key", "method", "parameter", F.round("score", 6).alias("score"), "cluster", F.array_join(F.array_sort("members"), ",").alias("members"))

@@ -129,3 +129,34 @@ def test_windows_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["n"], r["total"]) for r in spark.table("w").collect()] == [(2, 3.0)]
+
+
+def test_replace_table(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    for n in (3, 5):
+        store.replace_table(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_segment_query_against_every_cover(spark):
+    """On short words the beam drops nothing, so its best cover is the best of all."""
+    from stratalex.plans import text_queries
+
+    got = {r["word"]: r for r in text_queries.QUERIES["n1_beam_segmentation"](spark, "/root/testdata/sf0.001").where("rank = 1 and length(word) between 2 and 6").collect()}
+    words = [r["word"] for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").selectExpr("explode(regexp_extract_all(lower(text), '[a-z]+', 0)) as word").distinct().collect()]
+    tf, df = {}, {}
+    counts = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").selectExpr("explode(regexp_extract_all(lower(text), '[a-z]+', 0)) as word").groupBy("word").count().collect():
+        counts[r["word"]] = r["count"]
+    for w, n in counts.items():
+        grams = [w[i : i + k] for k in range(2, 8) for i in range(len(w) - k + 1)]
+        for g in grams:
+            tf[g] = tf.get(g, 0) + n
+        for g in set(grams):
+            df[g] = df.get(g, 0) + 1
+    for w, r in got.items():
+        covers = [c for c in segment.splits(w, 2) if c]
+        score = lambda c: sum(segment.segment_score(g, sum(map(len, c[:k])), sum(map(len, c[: k + 1])), len(w), tf[g], df[g], len(words), g in counts) for k, g in enumerate(c))  # noqa: B023, E731
+        assert r["score"] == pytest.approx(max(map(score, covers)), abs=1e-5), w
+    assert len(got) > 50
