@@ -176,10 +176,10 @@ def _aliases(spark, d):
 
 @query("j18_packet_pairs", """
 WITH e AS (SELECT vec_id, label || '-' || (vec_id // 500) AS label, embedding::DOUBLE[] AS v FROM embeddings)
-SELECT a.label AS root, a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.5""")
+SELECT a.label AS root, a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.05""")
 def _packets(spark, d):
     e = table(spark, d, "embeddings").select(F.concat_ws("-", "label", F.expr("vec_id div 500")).alias("root"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return L.packet_pairs(e, "root", "vec_id", lambda a, b: cosine(F.col(f"{a}.v"), F.col(f"{b}.v")), 0.5).withColumn("sim", F.round("sim", 6))
+    return L.packet_pairs(e, "root", "vec_id", lambda a, b: cosine(F.col(f"{a}.v"), F.col(f"{b}.v")), 0.05).withColumn("sim", F.round("sim", 6))
 
 
 @query("j19_enriched", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -222,10 +222,10 @@ def _queue(spark, d):
 
 @query("j26_nearest_known", """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS item, b.vec_id AS near, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id AND b.vec_id % 2 = 0 WHERE a.vec_id % 50 = 0)
-SELECT item, near, round(sim, 6) AS sim, row_number() OVER (PARTITION BY item ORDER BY sim DESC, near)::INT AS place FROM p WHERE sim >= 0.4 QUALIFY place <= 10""")
+SELECT item, near, round(sim, 6) AS sim, row_number() OVER (PARTITION BY item ORDER BY sim DESC, near)::INT AS place FROM p WHERE sim >= 0.1 QUALIFY place <= 10""")
 def _nearest(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("vec"))
-    return L.nearest_known(e.where("item % 50 = 0"), e, e.where("item % 2 = 0").select("item"))  # a set of queries against all that is known.withColumn("sim", F.round("sim", 6))
+    return L.nearest_known(e.where("item % 50 = 0"), e, e.where("item % 2 = 0").select("item"), least=0.1)  # a set of queries against all that is known.withColumn("sim", F.round("sim", 6))
 
 
 @query("j28_bridge", """
