@@ -72,7 +72,7 @@ def clauses(text: Column) -> Column:
 
 
 def graphemes(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r".\p{M}*"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(r"(?s).\p{M}*"), F.lit(0))
 
 
 def terms(text: Column) -> Column:

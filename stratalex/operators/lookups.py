@@ -59,6 +59,12 @@ def fragments(payload: Column) -> Column:
     return F.filter(text, lambda x: x.isNotNull() & (x != ""))
 
 
+def json_like(rows: DataFrame, payload: str) -> DataFrame:
+    """Rows whose payload begins like an object and doesn't report an error."""
+    text = F.trim(payload)
+    return rows.where(text.startswith("{") & ~F.upper(text).startswith("[ERROR]") & ~F.upper(text).startswith("ERROR"))
+
+
 def of_run(rows: DataFrame, runs: DataFrame, wanted: list | None = None) -> DataFrame:
     """Rows of the runs asked for, or of the one created last (then of the greatest id)."""
     if wanted:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import composition_queries, lookup_queries, phrase_queries, reading_queries, relation_queries, table_queries, text_queries, word_queries
+from . import composition_queries, function_queries, lookup_queries, phrase_queries, reading_queries, relation_queries, table_queries, text_queries, word_queries
 
-_FAMILIES = (text_queries, table_queries, phrase_queries, reading_queries, relation_queries, composition_queries, lookup_queries, word_queries)
+_FAMILIES = (text_queries, table_queries, phrase_queries, reading_queries, relation_queries, composition_queries, lookup_queries, word_queries, function_queries)
 
 
 def queries() -> dict:
