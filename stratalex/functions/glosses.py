@@ -91,16 +91,3 @@ def enhanced_definition(senses: Column, contexts: Column) -> Column:
     base = F.array_join(F.transform(senses, lambda x: F.trim(F.coalesce(x, F.lit("")))), " ")
     uses = F.transform(F.filter(contexts, lambda x: F.coalesce(x, F.lit("")) != ""), lambda x: F.concat(F.lit("`"), F.trim(x), F.lit("`")))
     return F.concat(F.lower(base), F.lit("."), F.when(F.size(uses) > 0, F.concat(F.lit(" usage: "), F.lower(F.array_join(uses, ", ")))).otherwise(F.lit("")))
-
-
-def sections(text: Column) -> Column:
-    """Map of the sections of a text with lines ``KEY: value``: each key and its lines, joined by line breaks; a key again adds to its section."""
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n")
-    pattern = r"^\s*([A-Z][A-Z_ ]+?)\s*:\s*(.*)$"
-    parsed = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("key"), F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 2)).otherwise(x).alias("line"), x.rlike(pattern).alias("head")))
-    marked = F.transform(parsed, lambda x, i: F.struct(x["key"].alias("key"), x["line"].alias("line"), x["head"].alias("head"), i.alias("i")))
-    heads = F.filter(marked, lambda x: x["head"])
-    owner = lambda x: F.element_at(F.filter(heads, lambda h: h["i"] <= x["i"]), -1)["key"]
-    owned = F.filter(F.transform(marked, lambda x: F.struct(F.when(F.size(heads) > 0, F.when(F.get(heads, F.lit(0))["i"] <= x["i"], owner(x))).alias("key"), x["line"].alias("line"), x["head"].alias("head"))), lambda x: x["key"].isNotNull() & (~x["head"] | (x["line"] != "")))
-    keys = F.array_distinct(F.transform(heads, lambda x: x["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_join(F.transform(F.filter(owned, lambda x: x["key"] == k), lambda x: x["line"]), "\n")))

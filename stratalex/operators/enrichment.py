@@ -142,3 +142,14 @@ def sentence_matches(sentences: DataFrame, clusters: DataFrame, most: int = 7) -
     words = sentences.select("sentence", F.posexplode("words").alias("word_index", "word"))
     grams = words.select("sentence", "word_index", F.explode(char_ngrams(F.lower("word"), 1, most)).alias("x"))
     return grams.select("sentence", "word_index", F.col("x.start").alias("start"), (F.col("x.start") + F.char_length("x.gram")).alias("end"), F.col("x.gram").alias("ngram")).join(clusters, "ngram")
+
+
+def sections(rows: DataFrame, item: str, text: str) -> DataFrame:
+    """item, section, text: the sections of a text with lines ``KEY: value``, their lines joined by line breaks; a key again adds to its section, lines before the first belong to none."""
+    pattern = r"^\s*([A-Z][A-Z_ ]+?)\s*:\s*(.*)$"
+    lines = rows.select(item, F.posexplode(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n")).alias("at", "line"))
+    key = F.regexp_extract("line", pattern, 1)
+    lines = lines.select(item, "at", F.when(key != "", key).alias("key"), F.when(key != "", F.regexp_extract("line", pattern, 2)).otherwise(F.col("line")).alias("line"))
+    owned = lines.withColumn("section", F.last("key", ignorenulls=True).over(Window.partitionBy(item).orderBy("at"))).where("section is not null and (key is null or line <> '')")
+    parts = owned.groupBy(item, "section").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("x"))
+    return parts.select(item, "section", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import glosses as G
 from ..operators import composition as C
+from ..operators.enrichment import sections
 from ..sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -270,5 +271,5 @@ k AS (SELECT page_id, i, CASE WHEN starts_with(l, 'p>') THEN 'NOTE' WHEN starts_
 SELECT page_id, own AS section, len(string_split(string_agg(l, chr(10) ORDER BY i), chr(10))) AS n_lines, sha256(string_agg(l, chr(10) ORDER BY i)) AS digest FROM o WHERE own IS NOT NULL GROUP BY ALL""")
 def _sections(spark, d):
     lines = F.transform(F.split("html", "><"), lambda x: F.when(x.startswith("p>"), F.concat(F.lit("NOTE: "), F.replace(x, F.lit("\n"), F.lit(" ")))).when(x.startswith("a "), F.concat(F.lit("LINK: "), F.replace(x, F.lit("\n"), F.lit(" ")))).otherwise(x))
-    found = table(spark, d, "pages").select("page_id", F.explode(G.sections(F.array_join(lines, "\n"))).alias("section", "text"))
+    found = sections(table(spark, d, "pages").select("page_id", F.array_join(lines, "\n").alias("t")), "page_id", "t")
     return found.select("page_id", "section", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.sha2("text", 256).alias("digest"))
