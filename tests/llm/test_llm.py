@@ -567,3 +567,50 @@ def test_pipeline_keeps_and_removes(spark, tmp_path):
     assert {r["doc_id"] for r in d.collect()} == set(range(40))
     mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert mixed and all(r["taken"] > 0 for r in mixed)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before it kept; language ID is held to its own model's answers."""
+    rng = random.Random(16)
+    word = lambda: rng.choice(["than", "ering", "tion", "onou"]) + rng.choice(["", "ed", "ly", "shea"]) + str(rng.randrange(50))
+    line = lambda n: " ".join(word() for _ in range(n))
+    shared, items = [line(12) for _ in range(6)], [(k, line(25)) for k in range(3)]
+    docs = []
+    for k in range(60):
+        own = [line(rng.randrange(4, 30)) for _ in range(rng.randrange(1, 6))]
+        own += [rng.choice(shared)] * rng.randrange(2) + [items[k % 3][1]] * (k % 9 == 0)
+        rng.shuffle(own)
+        docs.append((k, "\n".join(own), "en", "abc"[k % 3]))
+    docs += [(100 + k, " ".join(w if rng.random() > 0.01 else "changed" for w in docs[k][1].replace("\n", " ").split()), "en", "a") for k in range(12)]
+    docs += [(200, "123 !!", "en", "a"), (201, None, "en", "b"), (202, shared[0], "en", None), (203, docs[3][1], None, "c")]
+    frame(spark, docs).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rejected = {r["doc_id"] for r in language.identify(d).collect() if r["rejected"]}
+    want = {i: t for i, t, *_ in docs if i not in rejected}
+    stages = {}
+    for name, f in corpus_pipeline.STAGES:
+        f(spark, d, str(tmp_path)).write.parquet(out := f"{tmp_path}/{name}")
+        d = spark.read.parquet(out)
+        stages[name] = {r["doc_id"]: r["text"] for r in d.collect()}
+    assert stages["language_id"] == want and {200, 201} <= rejected
+    cut = _kept_lines(sorted((i, t) for i, t in want.items() if t is not None), lines.MIN_CHARS)
+    want = {i: cut[i] for i in want if re.search(r"\S", cut[i])}
+    assert stages["line_dedup"] == want
+    groups = _components(sorted(want.items()))
+    want = {i: t for i, t in want.items() if groups[i][1] == i}
+    assert stages["near_duplicates"] == want and len(want) < len(stages["line_dedup"])
+    bad = {r[0] for r in _contaminated(sorted(want.items()), items) if r[5]}
+    want = {i: t for i, t in want.items() if i not in bad}
+    assert bad and stages["decontamination"] == want
+    size, taken = Counter(), Counter()
+    name = {i: s for i, _, _, s in docs}
+    for i, t in want.items():
+        size[name[i]] += len(t.split())
+    mixed = d.collect()
+    for r in mixed:
+        taken[name[r["doc_id"]]] += r["taken"]
+        assert r["text"] == want[r["doc_id"]] and 0 < r["taken"] <= 3 * r["size"] and r["source_size"] == size[name[r["doc_id"]]]
+    goals = {name[r["doc_id"]]: r["target"] for r in mixed}
+    longest = max(len(t.split()) for t in want.values())
+    assert all(abs(taken[s] - g) <= longest for s, g in goals.items()) and sum(goals.values()) == pytest.approx(sum(size.values()))
