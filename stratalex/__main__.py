@@ -7,9 +7,10 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import collocation, factorize, lookup, residual, segment, vectors
+from .operators import collocation, factorize, lookup, refresh, residual, segment, vectors
+from .operators.translate import translations
 from .plans import registry
-from .sources import files
+from .sources import corpus, files
 
 #: Operators by command: inputs, options (name, type, default) and what is run on them.
 COMMANDS = {
@@ -19,6 +20,10 @@ COMMANDS = {
     "decompose": (["candidates"], [("total", int, 1), ("width", int, 15)], lambda s, p, o: segment.segment(s.read.parquet(*p), o.total, o.width)),
     "factorize": (["counts", "targets"], [("alpha", float, 0.05)], lambda s, p, o: factorize.ridge(*map(s.read.parquet, p), o.alpha)),
     "fuzzy": (["needles", "known"], [("least", int, 70), ("most", int, 10)], lambda s, p, o: lookup.fuzzy(*map(s.read.parquet, p), o.least, o.most)),
+    "translate-word": (["words", "dictionary"], [("strategy", str, "prefer-balance"), ("whole_words", int, 1), ("top", int, 5)], lambda s, p, o: translations(s.read.parquet(p[0]), files.senses(files.dictionary(s, p[1])), o.strategy, bool(o.whole_words), o.top)),
+    "preanalyze": (["dictionary"], [("most", int, 7)], lambda s, p, o: corpus.trusted_seeds(s.createDataFrame([], "token string"), files.dictionary(s, *p).withColumn("canonical", F.coalesce("canonical", "word")), None, o.most)),
+    "refresh": (["rows"], [], lambda s, p, o: s.read.parquet(*p).select("root", "word", refresh.refreshed(F.col("word"), F.col("root"), F.col("segments")).alias("b")).select("root", "word", "b.*")),
+    "composite": (["tokens", "vectors"], [("size", int, 64)], lambda s, p, o: refresh.composites(*map(s.read.parquet, p), o.size)),
     "find-ngram": (["dictionary"], [("ngram", str, None), ("canon_only", int, 0), ("alternates", int, 0)], lambda s, p, o: find(files.dictionary(s, *p, False), o.ngram, bool(o.canon_only), bool(o.alternates))),
 }
 
