@@ -15,6 +15,8 @@ _unowned: list[str] = []
 _owner: list[list[str]] = []
 #: Rows of one key that a task should meet in ``split_join``.
 PART_ROWS = 4096
+#: Estimated bytes of a table that one task writes at least.
+TASK_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,16 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/stratalex-checkpoints"
 
 
-def stored(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
+def _tasks(df: DataFrame) -> int:
+    """How many tasks write a table: one for each ``TASK_BYTES`` of its estimated size, and one for each core at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // TASK_BYTES), 2**31 - 1))
+
+
+def stored(df: DataFrame, tag: str, narrow: bool = False, apart: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts its lineage, survives lost executors.
 
-    A narrow table, whose rows are a few numbers, is written by an eighth of the shuffle's partitions, or by one task
-    for each core if that is more, so that small tables don't become thousands of small files.
+    No more tasks write it than its size asks for, so small tables don't become thousands of small files. A narrow table, whose rows are a few
+    numbers, is written by an eighth of the shuffle's partitions at most, or by one task for each core if that is more. With ``apart`` its rows are shuffled to
+    these tasks, so that what makes them, which is work, keeps its own partitions.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratalex/{tag}-{uuid.uuid4().hex}"
+    few = _tasks(df)
     if narrow:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        few = min(few, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    df = df.repartition(few) if apart else df.coalesce(few)
     df.write.parquet(path)
     (_owner[-1] if _owner else _unowned).append(path)
     return spark.read.schema(df.schema).parquet(path)
