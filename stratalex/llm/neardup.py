@@ -218,7 +218,7 @@ def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     """a, b: of the pairs (c, m) those that their full sets confirm; most others go by their sketches alone."""
     pairs = stored(pairs, "pairs", narrow=True)
     likely = _beside(pairs, classes.select("node", "n_shingles", "registers")).mapInArrow(_kept_pairs(percent), "c long, m long")
-    return _beside(stored(likely, "likely", narrow=True), sets).mapInArrow(_confirmed(percent), "a long, b long")
+    return _beside(stored(likely, "likely", narrow=True, apart=True), sets).mapInArrow(_confirmed(percent), "a long, b long")
 
 
 def _across(percent: int):
@@ -324,12 +324,12 @@ def components(docs: DataFrame, percent: int = PERCENT, members: int = MEMBERS)
     sets = stored(_sets(held.select("node"), classes, docs), "shingles")
     # the first center is the least node of a bucket, the second the greatest
     found = _links(held.where("node <> low").select(F.col("low").alias("c"), F.col("node").alias("m")).distinct(), classes, sets, percent)
-    links = stored(_shared_ids(rows, classes).unionByName(found), "links", narrow=True)
+    links = stored(_shared_ids(rows, classes).unionByName(found), "links", narrow=True, apart=True)
     now = _labelled(held.select("bucket", "node", "high"), connect(links))
     mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.struct("node", "component"))["component"].alias("of_high")).where("x <> y").select("bucket", "of_high")
     held = stored(now.join(stored(mixed, "mixed", narrow=True).hint("merge"), "bucket"), "members")
     found = _links(held.where("component <> of_high").select(F.col("high").alias("c"), F.col("node").alias("m")).distinct(), classes, sets, percent)
-    links = stored(links.unionByName(found), "links", narrow=True)
+    links = stored(links.unionByName(found), "links", narrow=True, apart=True)
     now = _labelled(held.select("bucket", "node"), connect(links)).join(classes.select("node", "n_shingles").hint("merge"), "node")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / members), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), blocks.alias("blocks")).where("x <> y").select("bucket", "blocks")
@@ -340,7 +340,7 @@ def components(docs: DataFrame, percent: int = PERCENT, members: int = MEMBERS)
     dealt = left.select("bucket", *wide, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     dealt = dealt.select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.when(F.col("block") == F.col("o"), 2).when(F.col("block") < F.col("o"), 0).otherwise(1).alias("side"), *wide)
     more = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across(percent), "a long, b long")
-    final = connect(stored(links.unionByName(more), "links", narrow=True))
+    final = connect(stored(links.unionByName(more), "links", narrow=True, apart=True))
     # a component's name is the least doc_id of its classes
     joined = stored(classes.select("key", "node", F.col("at.doc_id").alias("doc")).join(final.hint("merge"), "node"), "joined", narrow=True)
     names = joined.join(joined.groupBy("component").agg(F.min("doc").alias("c")), "component").select("key", "c")
