@@ -28,7 +28,6 @@ from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +41,7 @@ WINDOWS = 100_000
 #: Proximity: an item is near where so many of its rarest terms stand within SLOP words of the rarest.
 NEAR_TERMS, SLOP = 4, 13
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-INDEX = "shard long, doc_ids array<long>, marks array<long>, doc_starts array<int>, n_words array<int>, terms array<binary>, list_starts array<int>, positions binary"
+INDEX = "doc_ids array<long>, marks array<long>, doc_starts array<int>, n_words array<int>, terms array<binary>, list_starts array<int>, positions binary"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -62,17 +61,15 @@ def _shard(ids: list, marks: list, tokens: list[list[bytes]]) -> dict:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task = TaskContext.get()
-    shard = (task.partitionId() if task else 0) << 32
     ids: list = []
     marks: list = []
     tokens: list = []
     held = 0
 
     def cut() -> pa.RecordBatch:
-        s = {"shard": shard, **_shard(ids, marks, tokens)}
+        s = _shard(ids, marks, tokens)
         kinds = {"doc_ids": pa.int64(), "marks": pa.int64(), "doc_starts": pa.int32(), "n_words": pa.int32(), "list_starts": pa.int32()}
-        cols = [pa.ListArray.from_arrays([0, len(s[k])], pa.array(s[k], kinds[k]) if k in kinds else s[k].cast(pa.binary())) if k not in ("shard", "positions") else pa.array([s[k]]) for k in s]
+        cols = [pa.ListArray.from_arrays([0, len(s[k])], pa.array(s[k], kinds[k]) if k in kinds else s[k].cast(pa.binary())) if k != "positions" else pa.array([s[k]]) for k in s]
         return pa.RecordBatch.from_arrays(cols, names=list(s))
 
     for b in batches:
@@ -80,7 +77,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = text.as_py() or b""
             if held and held + len(raw) > SHARD_BYTES:
                 yield cut()
-                shard, ids, marks, tokens, held = shard + 1, [], [], [], 0
+                ids, marks, tokens, held = [], [], [], 0
             ids.append(i)
             marks.append(mark)
             tokens.append(words(raw))
@@ -96,7 +93,8 @@ def _mark(text: str) -> Column:
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Positional inverted index of all words of ``docs``, one row for each shard, as a table of the shared folder."""
     small_batches(docs.sparkSession)
-    return stored(docs.select(F.col(doc_id).cast("long"), _mark(text), F.col(text)).mapInArrow(_shards, INDEX), "postings")
+    shards = docs.select(F.col(doc_id).cast("long"), _mark(text), F.col(text)).mapInArrow(_shards, INDEX)
+    return stored(shards.withColumn("shard", F.monotonically_increasing_id()), "postings")  # written once, so the numbers stay
 
 
 class Shard:
