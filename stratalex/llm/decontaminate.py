@@ -35,7 +35,7 @@ from .common import small_batches, stored
 
 WINDOW = 13
 #: A shard holds about so many bytes of text, or one longer document.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 18
 #: Pairs of a window and an item that are searched for at once: what the driver holds and broadcasts is bounded by it.
 WINDOWS = 100_000
 #: Proximity: an item is near where so many of its rarest terms stand within SLOP words of the rarest.
@@ -94,7 +94,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Positional inverted index of all words of ``docs``, one row for each shard, as a table of the shared folder."""
     small_batches(docs.sparkSession)
     shards = docs.select(F.col(doc_id).cast("long"), _mark(text), F.col(text)).mapInArrow(_shards, INDEX)
-    return stored(shards.withColumn("shard", F.monotonically_increasing_id()), "postings")  # written once, so the numbers stay
+    return stored(shards.withColumn("shard", F.monotonically_increasing_id()), "postings", wide=True)  # written once, so the numbers stay
 
 
 class Shard:
