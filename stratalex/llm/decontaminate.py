@@ -35,7 +35,7 @@ from .common import small_batches, stored
 
 WINDOW = 13
 #: A shard holds about so many bytes of text, or one longer document.
-SHARD_BYTES = 1 << 18
+SHARD_BYTES = 1 << 20
 #: Pairs of a window and an item that are searched for at once: what the driver holds and broadcasts is bounded by it.
 WINDOWS = 100_000
 #: Proximity: an item is near where so many of its rarest terms stand within SLOP words of the rarest.
