@@ -210,7 +210,7 @@ def _labels(spark, d):
     return C.within_band(rows, "vec_id", least=0.2, band=0.1).select("vec_id", "label", F.round("sim", 6).alias("sim"))
 
 
-_GLOSSES = ("a river", "Top residuals: nacro:1.00", "[UNKNOWN]", "the prefix of verbs", "root meaning 'river'", "digits 19", "number '7' of stars", "OX denotes motion", "", "to be, to exist", "to  carry water", "of the sea", "and", "they", "which is sung, often", "enochian word for the number 456")
+_GLOSSES = ("a river", "Top residuals: nacro:1.00", "[UNKNOWN]", "the prefix of verbs", "root meaning 'river'", "digits 19", "number '7' of stars", "OX denotes motion", "", "to be, to exist", "to  carry water", "of the sea", "and", "they", "which is sung, often", "old word for the number 456")
 _GLOSS = f"[{', '.join(repr(g).replace(chr(34), chr(39)) if chr(39) not in g else chr(39) + g.replace(chr(39), chr(39) * 2) + chr(39) for g in _GLOSSES)}][n_chars % {len(_GLOSSES)} + 1]"
 _SQUEEZE = "trim(regexp_replace(g, '\\s+', ' ', 'g'))"
 
