@@ -1,7 +1,7 @@
 """Scores of a word's decompositions and of the definitions put together for it.
 
-Morphs are arrays of strings, vectors arrays of doubles; every function is an expression over columns, so a table of decompositions is scored without
-leaving the JVM. Constants are fixed values.
+Morphs are arrays of strings, vectors arrays of doubles; functions are expressions over columns, or take whole tables, so a table of decompositions is scored
+without leaving the JVM. Constants are fixed values.
 """
 
 from __future__ import annotations
@@ -180,9 +180,19 @@ def converged(texts: Column, vectors: Column, least: float = 0.815, length: int
     return (F.size(pieces) >= 2) & (long >= length) & (_mean(_pairs(pieces, lambda a, b: cosine(a["v"], b["v"]))) >= least)
 
 
-def cluster_cohesion(vectors: Column) -> Column:
-    """Mean cosine of a cluster's pairs, those of cosine 0 left out, to 3 places; 0 without any. Clusters are a word's groups of definitions."""
-    return F.round(_mean(F.filter(_pairs(vectors, cosine), lambda c: c != 0)), 3)
+def cluster_cohesion(rows: DataFrame, key: str, vec: str = "vec") -> DataFrame:
+    """key, cohesion: mean cosine of a cluster's pairs, those of cosine 0 left out, to 3 places; 0 without any, as for a null key.
+
+    Equal vectors are counted and not paired: a pair of different ones stands for as many pairs as their counts' product. So the work grows with the square
+    of a cluster's different vectors, whatever the number of its rows.
+    """
+    own = rows.select(F.col(key).alias("k"), F.col(vec).alias("v")).groupBy("k", "v").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    other = own.select("k", F.col("v").alias("w"), F.col("n").alias("m"))
+    apart = own.join(other, "k").where(F.col("v") < F.col("w")).select("k", cosine(F.col("v"), F.col("w")).alias("c"), (F.col("n") * F.col("m")).alias("n"))
+    alike = own.select("k", F.when(F.col("k").isNotNull(), cosine(F.col("v"), F.col("v"))).otherwise(0.0).alias("c"), (F.col("n") * (F.col("n") - 1) / 2).alias("n"))
+    met = F.when(F.col("c") != 0, F.col("n")).otherwise(0.0)
+    sums = alike.unionByName(apart).groupBy("k").agg(F.sum(F.col("c") * F.col("n")).alias("total"), F.sum(met).alias("pairs"))
+    return sums.select(F.col("k").alias(key), F.round(F.when(F.col("pairs") > 0, F.col("total") / F.col("pairs")).otherwise(0.0), 3).alias("cohesion"))
 
 
 def within_band(rows: DataFrame, item: str, label: str = "label", score: str = "sim", least: float = 0.3, band: float = 0.05) -> DataFrame:

@@ -50,7 +50,7 @@ def _nonzero(spark, d):
     from ..operators.composition import cluster_cohesion
 
     v = table(spark, d, "part").select(F.col("p_brand").alias("k"), F.array((F.col("p_size") % 2).cast("double"), ((F.col("p_size") + 1) % 2).cast("double"), (F.col("p_partkey") % 3 == 0).cast("double")).alias("v"))
-    return v.groupBy("k").agg(F.collect_list("v").alias("v")).select("k", cluster_cohesion(F.col("v")).alias("cohesion"))
+    return cluster_cohesion(v, "k", "v")
 
 
 @query("n20_cohesion", """

@@ -8,6 +8,7 @@ from stratalex.functions.vectors import cosine
 from stratalex.operators import graph, ngrams, residual, scoring, segment, store
 from stratalex.operators import vectors as V
 from stratalex.operators.collocation import collocations
+from stratalex.operators.composition import cluster_cohesion
 from stratalex.operators.factorize import ridge
 from stratalex.streaming.events import running_lexicon, windowed
 
@@ -55,6 +56,25 @@ def test_vectors(spark):
     assert V.cohesion(rows, "k").first()["cohesion"] == pytest.approx((0 + 2 * math.sqrt(0.5)) / 3)
 
 
+def test_cluster_cohesion_of_many_rows(spark):
+    vectors = [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0], [1.0, -1.0], [0.0, 0.0], [2.0, 0.5]]
+    few = [(k, vectors[(i * i + k) % 6]) for k in range(3) for i in range(20)] + [(3, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 1.0]), (None, [1.0, 1.0]), (None, [1.0, 1.0])]
+    got = {r["k"]: r["cohesion"] for r in cluster_cohesion(spark.createDataFrame(few, "k int, vec array<double>"), "k").collect()}
+
+    def cos(a, b):
+        size = math.hypot(*a) * math.hypot(*b)
+        return sum(x * y for x, y in zip(a, b, strict=True)) / size if size else 0.0
+
+    for k in range(3):
+        own = [v for key, v in few if key == k]
+        each = [c for i, a in enumerate(own) for b in own[:i] if (c := cos(a, b))]
+        assert got[k] == pytest.approx(sum(each) / len(each), abs=6e-4)
+    assert got[3] == got[4] == got[None] == 0
+    # half a million rows in one cluster, by pairs 10^11: an array of them all, or their pairs, would end no test
+    many = spark.range(500_000).selectExpr("1 as k", "if(id % 2 = 0, array(1D, 0D), array(1D, 1D)) as vec")
+    assert cluster_cohesion(many, "k").first()["cohesion"] == pytest.approx(0.5 + math.sqrt(0.5) / 2, abs=6e-4)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 9), (9, 8)]
     got = {r["node"]: r["component"] for r in graph.connect(spark.createDataFrame(links, "a long, b long")).collect()}
