@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import glosses as G
 from ..functions.vectors import cosine, unit
+from .vectors import nearest
 
 #: The order of trust of the kinds of evidence that definitions come from. Fixed values.
 KINDS = ("cluster", "residual", "attested", "hypothesis", "dictionary")
@@ -104,7 +105,8 @@ def delta_senses(words: DataFrame, senses: DataFrame, k: int = 5, gain: float =
     """
     delta = unit(F.zip_with("vec", "anchor_vec", lambda a, b: a - b))
     rows = words.select("item", delta.alias("d"), (F.col("before") - F.col("after") >= gain).alias("accepted")).where("d is not null")
-    pairs = rows.join(senses).select("item", "sense", F.round(cosine(F.col("d"), F.col("sense_vec")), 9).alias("sim"), "accepted")
+    pairs = nearest(rows.select("item", "accepted", F.col("d").alias("vec")), senses.select("sense", F.col("sense_vec").alias("vec")), k)
+    pairs = pairs.select("item", "sense", F.round("sim", 9).alias("sim"), "accepted")
     return pairs.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("sim"), "sense"))).where(F.col("place") <= k)
 
 

@@ -1,11 +1,14 @@
 import math
+import random
+import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratalex.functions import stats, text
-from stratalex.functions.vectors import cosine
-from stratalex.operators import graph, ngrams, residual, scoring, segment, store
+from stratalex.functions.vectors import cosine, unit
+from stratalex.operators import enrichment, graph, ngrams, residual, scoring, segment, store
 from stratalex.operators import vectors as V
 from stratalex.operators.collocation import collocations
 from stratalex.operators.composition import cluster_cohesion
@@ -75,6 +78,34 @@ def test_cluster_cohesion_of_many_rows(spark):
     assert cluster_cohesion(many, "k").first()["cohesion"] == pytest.approx(0.5 + math.sqrt(0.5) / 2, abs=6e-4)
 
 
+def test_nearest_against_all_pairs(spark, monkeypatch):
+    """Against a plain join, over several blocks: with copies, vectors without a direction, null ones, null places, other lengths, ids of strings."""
+    rng = random.Random(5)
+    vec = lambda n=4: [float(rng.randrange(-3, 4)) for _ in range(n)]
+    rows = [(i, vec(), vec(), 0.5, 0.3 if i % 2 else 0.45) for i in range(40)] + [(40, vec(3), vec(3), 0.5, 0.3), (41, None, vec(), 0.5, 0.3)]
+    senses = [(f"s{i}", vec()) for i in range(150)] + [(f"t{i}", [1.0, 2.0, -1.0, 0.0]) for i in range(60)] + [("u", None), ("v", [0.0] * 4), ("w", [1.0, None, 1.0, 1.0]), ("x", vec(3)), (None, vec()), ("y", [math.nan, 1.0, 1.0, 1.0])]
+    words = spark.createDataFrame(rows, "item long, vec array<double>, anchor_vec array<double>, before double, after double")
+    known = spark.createDataFrame(senses, "sense string, sense_vec array<double>")
+    d = words.select("item", unit(F.zip_with("vec", "anchor_vec", lambda a, b: a - b)).alias("d"), (F.col("before") - F.col("after") >= 0.1).alias("accepted")).where("d is not null")
+    pairs = d.crossJoin(known).select("item", "sense", F.round(cosine(F.col("d"), F.col("sense_vec")), 9).alias("sim"), "accepted")
+    want = pairs.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("sim"), "sense"))).where("place <= 5").collect()
+    monkeypatch.setattr(V, "BLOCK", 64)
+    got = enrichment.delta_senses(words, known).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 150
+    none = known.where("false")
+    assert enrichment.delta_senses(words, none).count() == enrichment.delta_senses(words.where("false"), known).count() == 0
+
+
+def test_delta_senses_of_a_larger_dictionary(spark):
+    """64 million pairs of 64 places, which expressions over arrays would take minutes for."""
+    vec = lambda seed: F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin((F.col("id") + seed) * i * i))
+    words = spark.range(8000).select(F.col("id").alias("item"), vec(1).alias("vec"), vec(7).alias("anchor_vec"), F.lit(0.5).alias("before"), F.lit(0.3).alias("after"))
+    began = time.monotonic()
+    got = enrichment.delta_senses(words, spark.range(8000).select(F.col("id").alias("sense"), vec(3).alias("sense_vec")))
+    assert got.groupBy("item").count().where("count = 5").count() == 8000
+    assert time.monotonic() - began < 60
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 9), (9, 8)]
     got = {r["node"]: r["component"] for r in graph.connect(spark.createDataFrame(links, "a long, b long")).collect()}
