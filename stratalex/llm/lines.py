@@ -7,11 +7,11 @@ lines that occurs again, the copy in the least doc_id stays (within a document,
 after its bytes have been compared: chunks meet by digest and by text, and a digest that two different texts share
 removes nothing.
 
-``clean`` goes on to single lines, which chunks with limits of chance leave: it removes every line that stands in a run of
+``clean`` removes such chunks first (``cut_chunks``) and then goes on to single lines, which chunks with limits of chance leave: it removes every line that stands in a run of
 whole lines, of ``min_chars`` characters or more in all, which an earlier document holds in the same order (or the same
 document, earlier and not overlapping). To find them all, the units compared are, for each line, the shortest run of
 that size that starts with it and the shortest that ends with it; a line that is long enough is such a run by itself.
-Each repeated chunk consists of such runs, so all of it goes too.
+Runs inside one chunk that has gone aren't compared any more: what the chunk repeats is there, in the copy that stays, for all other places.
 
 Units are numbered within their document. Which of them the document has had before comes from sorting its digests, and what goes is taken
 off the numbers by hashing, so a document of a million lines costs what its length asks for.
@@ -47,14 +47,14 @@ def _chunks(lines: str, divisor: int, min_chars: int) -> str:
     return f"if({lines} is null, null, {_let(lines, 'ls', _let(hashes, 'lh', _let(ends, 'ends', digests)))})"
 
 
-def _runs(lines: str, min_chars: int) -> str:
-    """array<struct<s, n, t, h>>: first line, number of lines, text and digest of each run, in order."""
+def _runs(lines: str, min_chars: int, within: str) -> str:
+    """array<struct<s, n, t, h>>: first line, number of lines, text and digest of each run, in order, but of those inside one chunk that has gone."""
     m = min_chars
     # no run has more than m + 1 lines, as each adds a line break at least
     least = lambda part, s: f"aggregate({part}, named_struct('n', 0, 'c', -1), (a, x) -> if(a.c >= {m}, a, named_struct('n', a.n + 1, 'c', a.c + 1 + char_length(x))), a -> if(a.c >= {m}, ({s}) * 1024L + a.n, null))"
     after = f"transform(ls, (l, i) -> if(char_length(l) >= {m}, (i + 1) * 1024L + 1, {least(f'slice(ls, i + 1, {m} + 1)', 'i + 1')}))"
     before = f"transform(ls, (l, i) -> if(char_length(l) >= {m}, null, {least(f'reverse(slice(ls, greatest(1, i + 1 - {m}), least(i + 1, {m} + 1)))', 'i + 2 - a.n')}))"
-    text = "transform(sort_array(array_distinct(filter(concat({0}, {1}), w -> w is not null))), w -> named_struct('s', int(w div 1024), 'n', int(w % 1024), 't', array_join(slice(ls, int(w div 1024), int(w % 1024)), '\\n')))".format(after, before)
+    text = "transform(sort_array(array_distinct(filter(concat({0}, {1}), w -> w is not null and not coalesce({2}[int(w div 1024) - 1] >= 0 and {2}[int(w div 1024) - 1] = {2}[int(w div 1024 + w % 1024) - 2], false)))), w -> named_struct('s', int(w div 1024), 'n', int(w % 1024), 't', array_join(slice(ls, int(w div 1024), int(w % 1024)), '\\n')))".format(after, before, within)
     digests = f"transform({text}, c -> named_struct('s', c.s, 'n', c.n, 't', c.t, 'h', md5(c.t)))"
     return f"if({lines} is null, null, {_let(lines, 'ls', digests)})"
 
@@ -98,10 +98,10 @@ def repeated(units: DataFrame) -> DataFrame:
     return same.groupBy("__sx_h").agg(F.count(F.lit(1)).alias("texts"), F.min("low").alias("__sx_keep"), F.max("high").alias("high")).where("texts = 1 and high > __sx_keep").select("__sx_h", "__sx_keep")
 
 
-def _judged(docs: DataFrame, units: str, apart: bool, tag: str) -> DataFrame:
-    """``docs`` with its units and, in ``__sx_stay``, the numbers of those that stay."""
-    small = _numbered(_mark(docs.select("doc_id", "text")), units, apart)
-    again = stored(repeated(small), tag)
+def _judged(docs: DataFrame, units: str, apart: bool, tag: str, also: tuple[str, ...] = (), spent: bool = False) -> DataFrame:
+    """``docs`` with its units, which stand on the text and the columns ``also``, and, in ``__sx_stay``, the numbers of those that stay."""
+    small = _numbered(_mark(docs.select("doc_id", "text", *also)), units, apart)
+    again = stored(repeated(small), tag, spent=spent)
     gone = _new(small).select("doc_id", "__sx_mark", "k", F.col("h").alias("__sx_h")).join(again, "__sx_h").where("doc_id > __sx_keep")
     # rows that share doc_id and text have the same numbers
     gone = gone.groupBy(F.col("doc_id").alias("__sx_id"), F.col("__sx_mark").alias("__sx_of")).agg(F.collect_set("k").alias("__sx_drop"))
@@ -128,19 +128,30 @@ def report(docs: DataFrame) -> DataFrame:
     return dedup_chunks(docs.select("doc_id", "text")).select("doc_id", F.col("__sx_count").alias("n_lines"), F.col("__sx_gone").alias("n_removed"), F.sha2("__sx_text", 256).alias("clean_sha256"))
 
 
+def cut_chunks(docs: DataFrame, divisor: int = DIVISOR, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with ``__sx_cut``: for each line the number of the chunk with which it goes, or -1; null if no chunk goes."""
+    both = _judged(docs, _chunks("__sx_lines", divisor, min_chars), False, "chunks", spent=True)
+    gone = "array_except(sequence(0, size(__sx_units) - 1), __sx_stay)"
+    all_ = f"array_sort(concat(transform(__sx_stay, k -> named_struct('k', k, 'c', -1)), transform({gone}, k -> named_struct('k', k, 'c', k))))"
+    cut = f"if(size(__sx_units) > size(__sx_stay), flatten(transform({all_}, x -> array_repeat(x.c, __sx_units[x.k].n))), null)"
+    return both.select(*docs.columns, F.expr(cut).alias("__sx_cut"))
+
+
 def dedup_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with ``__sx_text``: what stays without the lines of repeated runs."""
+    """``docs`` with ``__sx_text``: what stays without the lines of repeated chunks and then of repeated runs."""
     if not 0 < min_chars < 1023:
         raise ValueError("min_chars must be from 1 to 1022")
-    both = _judged(docs, _runs("__sx_lines", min_chars), True, "runs")
+    docs = stored(cut_chunks(docs, DIVISOR, min_chars), "cut", spent=True)
+    both = _judged(docs, _runs("__sx_lines", min_chars, "__sx_cut"), True, "runs", also=("__sx_cut",), spent=True)
     # the lines of every run that doesn't stay
     out = "flatten(transform(array_except(sequence(0, greatest(size(__sx_units) - 1, 0)), __sx_stay), k -> if(k < size(__sx_units), sequence(__sx_units[k].s, __sx_units[k].s + __sx_units[k].n - 1), cast(array() as array<int>))))"
-    stays = f"transform(array_except(sequence(1, size(__sx_lines)), {out}), i -> __sx_lines[i - 1])"
-    return _fixed(both, "__sx_text", F.expr(f"if(text is null, null, array_join({stays}, '\\n'))")).drop("__sx_units", "__sx_had", "__sx_drop", "__sx_stay", "__sx_lines")
+    chunks = "coalesce(filter(transform(__sx_cut, (c, i) -> if(c >= 0, i + 1, null)), i -> i is not null), cast(array() as array<int>))"
+    stays = f"transform(array_except(sequence(1, size(__sx_lines)), concat({out}, {chunks})), i -> __sx_lines[i - 1])"
+    return _fixed(both, "__sx_text", F.expr(f"if(text is null, null, array_join({stays}, '\\n'))")).drop("__sx_units", "__sx_had", "__sx_drop", "__sx_stay", "__sx_lines", "__sx_cut")
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines of repeated runs taken out of ``text``; ``n_chars``, if there, follows it."""
+    """``docs`` with the lines of repeated chunks and runs taken out of ``text``; ``n_chars``, if there, follows it."""
     out = dedup_runs(docs)
     new = {"text": F.col("__sx_text")} | ({"n_chars": F.char_length("__sx_text").cast("long")} if "n_chars" in docs.columns else {})
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

@@ -19,6 +19,8 @@ PART_ROWS = 4096
 TASK_BYTES = 32 << 20
 #: How Parquet files of wide rows are written: row groups of 16 MB, sizes looked at after every few rows.
 WIDE = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "16", "parquet.block.size.row.check.min": "4", "parquet.block.size.row.check.max": "16"}
+#: Spark's setting by which a query's shuffles are deleted at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,13 +42,14 @@ def _tasks(df: DataFrame) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // TASK_BYTES), 2**31 - 1))
 
 
-def stored(df: DataFrame, tag: str, narrow: bool = False, apart: bool = False, wide: bool = False) -> DataFrame:
+def stored(df: DataFrame, tag: str, narrow: bool = False, apart: bool = False, wide: bool = False, spent: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts its lineage, survives lost executors.
 
     No more tasks write it than its size asks for, so small tables don't become thousands of small files. A narrow table, whose rows are a few
     numbers, is written by an eighth of the shuffle's partitions at most, or by one task for each core if that is more. With ``apart`` its rows are shuffled to
     these tasks, so that what makes them, which is work, keeps its own partitions. A ``wide`` table has rows of hundreds of kilobytes: it keeps its partitions, and
-    its pages and row groups are closed after a few rows, as writers and readers hold whole ones in memory.
+    its pages and row groups are closed after a few rows, as writers and readers hold whole ones in memory. With ``spent`` the shuffles that made
+    the table are deleted once it is written, and don't wait for the driver's garbage collection.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratalex/{tag}-{uuid.uuid4().hex}"
@@ -57,7 +60,14 @@ def stored(df: DataFrame, tag: str, narrow: bool = False, apart: bool = False, w
         few = min(few, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     if few:
         writer = (df.repartition(few) if apart else df.coalesce(few)).write
-    writer.options(**WIDE if wide else {}).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if spent:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        writer.options(**WIDE if wide else {}).parquet(path)
+    finally:
+        if spent:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     (_owner[-1] if _owner else _unowned).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
