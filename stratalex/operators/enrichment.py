@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import glosses as G
-from ..functions.vectors import cosine, unit
+from ..functions.vectors import cosine, norm
 from .vectors import nearest
 
 #: The order of trust of the kinds of evidence that definitions come from. Fixed values.
@@ -103,8 +103,9 @@ def delta_senses(words: DataFrame, senses: DataFrame, k: int = 5, gain: float =
 
     senses: sense, sense_vec, a dictionary's. A hypothesis is accepted if the residual falls by ``gain`` or more.
     """
-    delta = unit(F.zip_with("vec", "anchor_vec", lambda a, b: a - b))
-    rows = words.select("item", delta.alias("d"), (F.col("before") - F.col("after") >= gain).alias("accepted")).where("d is not null")
+    delta = F.explode(F.array(F.zip_with("vec", "anchor_vec", lambda a, b: a - b)))  # a generator's output is worked out once
+    rows = words.select("item", delta.alias("d"), (F.col("before") - F.col("after") >= gain).alias("accepted")).select("*", F.explode(F.array(norm(F.col("d")))).alias("n"))
+    rows = rows.where((F.col("n") > 0) & ~F.isnan("n")).select("item", F.transform("d", lambda x: x / F.col("n")).alias("d"), "accepted")
     pairs = nearest(rows.select("item", "accepted", F.col("d").alias("vec")), senses.select("sense", F.col("sense_vec").alias("vec")), k)
     pairs = pairs.select("item", "sense", F.round("sim", 9).alias("sim"), "accepted")
     return pairs.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("sim"), "sense"))).where(F.col("place") <= k)

@@ -101,7 +101,8 @@ def nearest(rows: DataFrame, others: DataFrame, k: int) -> DataFrame:
     left, right = [c for c in rows.columns if c != "vec"], [c for c in others.columns if c != "vec"]
 
     def ready(df: DataFrame, names: list[str]) -> DataFrame:
-        own = df.select(*names, F.col("vec").cast("array<double>").alias("vec"), norm(F.col("vec")).alias("size"))
+        # generators' output is worked out once
+        own = df.select(*names, F.explode(F.array(F.col("vec").cast("array<double>"))).alias("vec")).select("*", F.explode(F.array(norm(F.col("vec")))).alias("size"))
         good = F.col("size") > 0
         return own.select(*names, F.when(good, F.col("vec")).alias("vec"), F.when(good, F.col("size")).alias("size"), F.when(good, F.size("vec")).cast("long").alias("dim"))
 
